@@ -11,14 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import table as table
+
 #: Bytes of text that the numpy kernels look at together; one longer document is looked at alone.
 CHUNK_BYTES = 1 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share; a local one only where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

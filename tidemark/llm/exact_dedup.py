@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, new_dir, table, text_column
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, and closed after each batch: an open store holds some 4 MB for its manifest alone.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -30,9 +34,9 @@ def stream_state(spark: SparkSession, arrivals: str, schema, bytes_per_batch: in
     The stream can be stopped and started again on the same checkpoint: files that were seen are not read twice.
     """
     place = new_dir(spark, "dedup-state")
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, _ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in _STATE}
+    for key, value in _STATE.items():
+        spark.conf.set(key, value)
     try:
         arriving = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(arrivals)
         state = arriving.groupBy("digest").agg(
@@ -47,7 +51,8 @@ def stream_state(spark: SparkSession, arrivals: str, schema, bytes_per_batch: in
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
     held = spark.read.format("statestore").load(place)
     return held.select(
         F.col("key.digest").alias("digest"),

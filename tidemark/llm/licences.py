@@ -130,8 +130,8 @@ class Scanner:
         #: By state: the phrases that are suffixes of the state's longest string, with their lengths.
         shortest = [self.automaton.length[x] + 1 if x >= 0 else 0 for x in self.automaton.link]
         whole = [
-            {(k, self.sizes[k]) for k, place in ends if k < n and place == self.sizes[k] - 1 and self.sizes[k] >= least}
-            for ends, least in zip(self.automaton.ends, shortest, strict=True)
+            {(k, self.sizes[k]) for k, place in ends if k < n and place == self.sizes[k] - 1 and least <= self.sizes[k] <= most}
+            for ends, least, most in zip(self.automaton.ends, shortest, self.automaton.length, strict=True)
         ]
         for state in sorted(range(1, len(whole)), key=self.automaton.length.__getitem__):
             whole[state] |= whole[self.automaton.link[state]]

@@ -1,9 +1,11 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from tidemark.llm import exact_dedup, licences, packing, sharding
+from tidemark.llm import exact_dedup, licences, packing, quality, sharding, toxicity
 
 QUERIES = {
+    "op1_quality_additive_model": quality.op1_quality_additive_model,
     "op3_extendible_hash_shards": sharding.op3_extendible_hash_shards,
+    "op6_counterfactual_toxicity": toxicity.op6_counterfactual_toxicity,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_sum_of_squares_packing": packing.op8_sum_of_squares_packing,
     "op10_licence_scan": licences.op10_licence_scan,

@@ -18,6 +18,9 @@ _STATE = {
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
+#: Parts that the rows of one digest are dealt to while their bytes are compared.
+SALTS = 32
+
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, digest of the text's bytes (null: empty), and where the content lies."""
@@ -80,11 +83,15 @@ def exact_dedup(docs: DataFrame, bytes_per_batch: int = 8 << 30) -> DataFrame:
         held = cut(stream_state(spark, arrivals[0].rsplit("/", 1)[0], prints.schema, bytes_per_batch), "dedup-held")
 
     # Full bytes on hits: the least and the greatest text of a digest are the same text, or the digest has collided.
-    hits = held.filter("group_size > 1").select("digest")
+    # A salt deals the rows of a large group to SALTS tasks.
+    hits = held.filter("group_size > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     texts = docs.select(
-        F.unhex(F.sha2(text_column(docs).cast("binary"), 256)).alias("digest"), text_column(docs).cast("binary").alias("bytes")
+        F.unhex(F.sha2(text_column(docs).cast("binary"), 256)).alias("digest"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
+        text_column(docs).cast("binary").alias("bytes"),
     )
-    compared = texts.join(hits, "digest", "left_semi").groupBy("digest").agg(F.min("bytes").alias("a"), F.max("bytes").alias("z"))
+    compared = texts.join(hits, ["digest", "salt"], "left_semi").groupBy("digest", "salt").agg(F.min("bytes").alias("a"), F.max("bytes").alias("z"))
+    compared = compared.groupBy("digest").agg(F.min("a").alias("a"), F.max("z").alias("z"))
     collided = compared.filter("a <> z").select("digest")
     if collided.limit(1).count():
         full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).cast("binary").alias("bytes"))

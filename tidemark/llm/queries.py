@@ -1,9 +1,10 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from tidemark.llm import exact_dedup, licences, minhash, packing, quality, sharding, toxicity
+from tidemark.llm import exact_dedup, licences, minhash, neighbours, packing, quality, sharding, toxicity
 
 QUERIES = {
     "op1_quality_additive_model": quality.op1_quality_additive_model,
+    "op2_cross_polytope_neighbours": neighbours.op2_cross_polytope_neighbours,
     "op3_extendible_hash_shards": sharding.op3_extendible_hash_shards,
     "op5_superminhash_near_dedup": minhash.op5_superminhash_near_dedup,
     "op6_counterfactual_toxicity": toxicity.op6_counterfactual_toxicity,

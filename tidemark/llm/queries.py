@@ -1,6 +1,6 @@
 """The queries of this subpackage and the SQL that gives the same rows, where SQL can."""
 
-from tidemark.llm import exact_dedup, licences, minhash, neighbours, packing, quality, sharding, toxicity
+from tidemark.llm import exact_dedup, licences, minhash, neighbours, packing, quality, repeats, sharding, toxicity
 
 QUERIES = {
     "op1_quality_additive_model": quality.op1_quality_additive_model,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_counterfactual_toxicity": toxicity.op6_counterfactual_toxicity,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_sum_of_squares_packing": packing.op8_sum_of_squares_packing,
+    "op9_merged_bwt_repeats": repeats.op9_merged_bwt_repeats,
     "op10_licence_scan": licences.op10_licence_scan,
 }
 

@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     rows = signed.filter("n > 0").select("doc_id", "n", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = cut(rows, "rows")
-    least = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    least = cut(rows.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")  # apart from the join, which can then split large groups
     named = rows.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = signed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return named.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

@@ -68,6 +68,12 @@ def text_batches(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[t
             at = to
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``gone``; whatever other columns they have."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    return rows.join(gone, "doc_id", "left_anti").select("row.*")
+
+
 #: A-Z to a-z, other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

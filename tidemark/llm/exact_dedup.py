@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, new_dir, table, text_column
+from tidemark.llm.common import cut, new_dir, table, text_column, without
 
 #: State on disk, and closed after each batch: an open store holds some 4 MB for its manifest alone.
 _STATE = {
@@ -116,9 +116,9 @@ def exact_dedup(docs: DataFrame, bytes_per_batch: int = 8 << 30) -> DataFrame:
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text another row with a larger doc_id has too."""
-    gone = exact_dedup(docs).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` without the rows whose text another row with a larger doc_id has too; rows without doc_id stay."""
+    gone = exact_dedup(docs).filter("not kept").select("doc_id")
+    return without(docs, gone)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, SPACED, cut, mix, prefix_hash, span_hash, table, text_batches, word_spans
+from tidemark.llm.common import LOWER, SPACED, cut, mix, prefix_hash, span_hash, table, text_batches, without, word_spans
 
 #: Registers of a signature; bands of ROWS registers each. A pair at 0.8 meets in no band with probability 5e-8.
 REGISTERS, ROWS = 128, 4
@@ -237,9 +237,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows of which another one of their group stays; the one with the least doc_id stays."""
-    gone = near_duplicates(docs, words, percent).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` without the rows of which another one of their group stays; the one with the least doc_id stays, as do rows without doc_id."""
+    return without(docs, near_duplicates(docs, words, percent).filter("not kept").select("doc_id"))
 
 
 def op5_superminhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -314,7 +314,7 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = removal_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     spans = cut(spans.withColumnRenamed("doc_id", "_id"), "spans")
     bits = docs.sparkSession.sparkContext.broadcast(_filter(spans, "_id"))
-    rows = docs.withColumn("_id", _ordered(docs))
+    rows = docs.select(F.struct("*").alias("row"), _ordered(docs).alias("_id"))
     return _filtered(rows, "_id", bits, wanted=False), _filtered(rows, "_id", bits).join(spans, "_id", "left")
 
 
@@ -329,21 +329,21 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column(docs).alias("text"))
     clean, others = _joined(docs)
     bytes_ = F.col("text").cast("binary")
-    clean = clean.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(bytes_, 256).alias("kept_sha256"))
-    others = others.select("doc_id", bytes_.alias("_bytes"), "_spans")
+    clean = clean.select("row.*").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(bytes_, 256).alias("kept_sha256"))
+    others = others.select("row.doc_id", F.col("row.text").cast("binary").alias("_bytes"), "_spans")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return clean.unionByName(others.mapInArrow(lambda b: _with_spans(b, False), schema))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with their repeated bytes taken out of ``text``; bytes of characters that were cut through go too."""
-    names = docs.columns
+    rest = docs.drop("text")
     clean, others = _joined(docs)
-    rest = [c for c in names if c != "text"]
-    others = others.select(*rest, text_column(docs).cast("binary").alias("_bytes"), "_spans")
-    fields = docs.select(*rest, F.col("text").cast("string").alias("text")).schema
+    others = others.select(F.struct(*(F.col("row")[c].alias(c) for c in rest.columns)).alias("row"), F.coalesce(F.col("row")["text"].cast("string"), F.lit("")).cast("binary").alias("_bytes"), "_spans")
+    fields = others.select("row", F.lit("").alias("text")).schema
     left = others.mapInArrow(lambda b: _with_spans(b, True), fields)
-    return clean.select(*rest, F.col("text").cast("string").alias("text")).unionByName(left).select(*names)
+    left = left.select(F.struct("row.*", "text").alias("row"))
+    return clean.select("row").select("row.*").unionByName(left.select("row.*")).select(docs.columns)
 
 
 def op9_merged_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

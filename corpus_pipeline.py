@@ -6,20 +6,46 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import cut, table
 from tidemark.llm.exact_dedup import drop_exact_copies
+from tidemark.llm.minhash import drop_near_copies
+from tidemark.llm.packing import pack
+from tidemark.llm.quality import drop_low_quality
+from tidemark.llm.repeats import drop_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted on the table labels, doesn't reject."""
+    return drop_low_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return drop_exact_copies(docs)
 
 
-STAGES = [("exact dedup", exact_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 of their shingles of five words."""
+    return drop_near_copies(docs)
+
+
+def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes in strings of 100 bytes that also stand earlier."""
+    return drop_repeats(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of 2048 tokens."""
+    return pack(docs)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("repeat_dedup", repeat_dedup), ("packing", packing)]
 
 #: SQL can't express the stages; tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; every stage is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = cut(stage(spark, docs, sf_dir), name)
     return docs

@@ -27,7 +27,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Longest word, in bytes, that the fold merges, whose steps grow with the square of the length; longer ones merge with a heap.
 LONGEST = 64
 #: Words that every task knows from the start: the most frequent ones of a sample of documents. They only save time.
-SAMPLE_DOCS, KNOWN = 12_000, 1 << 18
+SAMPLE_DOCS, KNOWN = 12_000, 1 << 17
 #: Words that a task numbers before it starts anew.
 NUMBERED = 1 << 19
 
@@ -84,7 +84,8 @@ class RankMap:
         key = F.shiftleft(a, 16).bitwiseOR(b)
         shift = F.get(self.shifts, F.shiftright(key * _BY_GROUP[0], _BY_GROUP[1]).bitwiseAND(_GROUPS - 1).cast("int"))
         slot = F.get(self.slots, (F.shiftright(key * _BY_SLOT[0], _BY_SLOT[1]) + shift).bitwiseAND(_SLOTS - 1).cast("int"))
-        return F.when(F.shiftright(slot, 16) == key, slot.bitwiseAND(65535)).otherwise(F.lit(_NEVER).cast("bigint"))
+        # Of the right slot the rank is left, of any other one at least 1 << 16; that ranks as never.
+        return F.least(slot.bitwiseXOR(F.shiftleft(key, 16)).bitwiseAND((1 << 63) - 1), F.lit(_NEVER).cast("bigint"))
 
 
 def merged(word: Column, rank: RankMap) -> Column:
@@ -109,7 +110,7 @@ def merged(word: Column, rank: RankMap) -> Column:
             return F.get(F.transform(F.array(place), build), 0)
 
         least = F.array_min(state)
-        return F.when(least >= never * 65536, state).otherwise(F.get(F.transform(F.array(least), at), 0))
+        return F.when(least >= 1 << 32, state).otherwise(F.get(F.transform(F.array(least), at), 0))
 
     begin = F.transform(word, lambda x, i: with_next(F.when(i + 1 < F.size(word), rank(x.cast("bigint"), F.get(word, i + 1).cast("bigint"))).otherwise(never), x))
     steps = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
@@ -283,8 +284,11 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool
             yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "bytes": pa.ListArray.from_arrays(pa.array(ends), pa.array(to_ids.value[np.frombuffer(b"".join(raw), dtype=np.uint8)]))})
 
     spread = counts.select("word").repartition("word").mapInArrow(as_ids, "word string, bytes array<int>")
-    known = sorted((r.word, r.ids) for r in spread.select("word", merged(F.col("bytes"), rank).alias("ids")).collect() if r.word.encode() not in ranks)
-    shared = spark.sparkContext.broadcast((ranks, [w for w, _ in known], [_spelled(ids) for _, ids in known]))
+    spelled = F.array_join(merged(F.col("bytes"), rank).cast("array<string>"), " ")
+    known = spread.select("word", spelled.alias("ids")).toArrow().sort_by("word").to_pydict()  # KNOWN rows at most
+    known = [(w, i) for w, i in zip(known["word"], known["ids"], strict=True) if w.encode() not in ranks]
+    shared = spark.sparkContext.broadcast((ranks, [w for w, _ in known], [i.encode() for _, i in known]))
+    del known
 
     def number(batches):
         table_, words, _ = shared.value

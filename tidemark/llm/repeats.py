@@ -31,7 +31,7 @@ RANGES = ((0, 0), (1, 1), (2, 3), (4, 8), (9, 16), (17, 34), (35, BEFORE))
 #: Bits of the filters that go to all executors. They only spare work: what passes is looked at exactly.
 FILTER_BITS = 1 << 26
 #: Bytes of contexts in a shard, and about how many are merged at once.
-SHARD, UNIT = 1 << 20, 1 << 22
+SHARD, UNIT = 1 << 16, 1 << 18
 #: Order of the shards' own transforms, and bytes by which a step of the merge refines.
 ORDER, STEP = 8, 4
 
@@ -116,7 +116,7 @@ class ShardTransform:
         padded = np.concatenate([text, np.zeros(ORDER, np.uint8)])
         words = sliding_window_view(padded, ORDER)[places].copy().view(">u8").reshape(-1).astype(np.uint64)
         order = np.argsort(words, kind="stable")
-        self.keys, self.places = words[order], places[order] + at
+        self.keys, self.places = words[order], (places[order] + at).astype(np.int32)
 
 
 def merge(shards: list[ShardTransform], text: np.ndarray, left: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +135,7 @@ def merge(shards: list[ShardTransform], text: np.ndarray, left: np.ndarray, leng
     depth = ORDER
     while True:
         alone = edge[:-1] & edge[1:]
-        block = np.cumsum(edge[:-1])[~alone]
+        block = np.cumsum(edge[:-1], dtype=np.int32)[~alone]
         place = place[~alone]
         if depth >= length or not len(place):
             return place, block
@@ -168,8 +168,8 @@ def repeated_spans(doc: np.ndarray, first: np.ndarray, contexts: list[bytes], le
     size = np.array([len(c) for c in contexts], dtype=np.int64)
     text = np.frombuffer(b"".join(contexts), dtype=np.uint8)
     begin = np.concatenate([[0], np.cumsum(size)])
-    left = np.arange(len(text)) - np.repeat(begin[:-1], size)
-    room = np.repeat(size, size) - left
+    left = (np.arange(len(text)) - np.repeat(begin[:-1], size)).astype(np.int32)
+    room = np.repeat(size.astype(np.int32), size) - left
     shards, at = [], 0
     while at < len(contexts):
         to = max(at + 1, int(np.searchsorted(begin, begin[at] + SHARD, side="right")) - 1)
@@ -233,31 +233,48 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "first": pa.array(first, pa.int64()), "before": pa.array(left, pa.int32()), "piece": pa.array(piece, pa.int64()), "many": pa.array(many, pa.bool_()), "bytes": pa.array(text, pa.binary())})
 
 
+def removed_runs(size: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs (doc, start, end) of the spans, cut to their documents; what is then too short counts for nothing."""
+    start, end = np.maximum(start, 0), np.minimum(end, size[doc])
+    long = end - start >= LENGTH
+    doc, start, end = doc[long], start[long], end[long]
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    if not len(doc):
+        return doc, start, end
+    base = doc * (int(size.max()) + 1)
+    reach = np.maximum.accumulate(end + base)
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = start[1:] + base[1:] > reach[:-1]
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(doc)) - 1
+    return doc[head], start[head], (reach - base)[tail]
+
+
 def _with_spans(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
-    """From (…, doc bytes, spans) to what is left of the document."""
-    for batch in batches:
-        rows = []
-        for text, spans in zip(batch.column("_bytes").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
-            kept, at, removed, runs = [], 0, 0, 0
-            for span in sorted((max(0, s["start"]), min(len(text), s["end"])) for s in spans or ()):
-                if span[1] - span[0] < LENGTH or span[1] <= at:
-                    continue
-                start = max(at, span[0])
-                if span[0] > at or not removed:
-                    runs += 1
-                kept.append(text[at:start])
-                removed += span[1] - start
-                at = span[1]
-            kept.append(text[at:])
-            rows.append((len(text), removed, runs, b"".join(kept)))
-        n, removed, runs, kept = (list(c) for c in zip(*rows, strict=True)) if rows else ([], [], [], [])
-        own = [c for c in batch.schema.names if c not in ("_bytes", "_spans")]
-        out = {c: batch.column(c) for c in own}
-        if keep_text:
-            out["text"] = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
-        else:
-            out |= {"n_bytes": pa.array(n, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(runs, pa.int64()), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
-        yield pa.RecordBatch.from_pydict(out)
+    """From (..., _bytes, _start, _end) to what is left of the documents."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            texts = batch.column("_bytes").to_pylist()
+            size = np.array([len(t) for t in texts], dtype=np.int64)
+            starts, ends = batch.column("_start"), batch.column("_end")
+            doc = np.repeat(np.arange(len(texts)), starts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            runs = removed_runs(size, doc, starts.flatten().to_numpy(), ends.flatten().to_numpy())
+            pieces = [[] for _ in texts]
+            removed, done = np.zeros(len(texts), dtype=np.int64), [0] * len(texts)
+            for d, a, z in zip(*(r.tolist() for r in runs), strict=True):
+                pieces[d].append(texts[d][done[d] : a])
+                done[d] = z
+                removed[d] += z - a
+            kept = [b"".join([*p, t[d:]]) for p, t, d in zip(pieces, texts, done, strict=True)]
+            out = {c: batch.column(c) for c in batch.schema.names if c not in ("_bytes", "_start", "_end")}
+            if keep_text:
+                out["text"] = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+            else:
+                n = np.array([len(p) for p in pieces], dtype=np.int64)
+                out |= {"n_bytes": pa.array(size), "n_removed": pa.array(removed), "n_spans": pa.array(n), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
+            yield pa.RecordBatch.from_pydict(out)
 
 
 def _ordered(docs: DataFrame) -> Column:
@@ -311,7 +328,8 @@ def removal_spans(docs: DataFrame) -> DataFrame:
 
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents that no span can be of, and the others with their bytes and spans."""
-    spans = removal_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
+    spans = removal_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("s"))
+    spans = spans.select("doc_id", F.col("s.start").alias("_start"), F.col("s.end").alias("_end"))
     spans = cut(spans.withColumnRenamed("doc_id", "_id"), "spans")
     bits = docs.sparkSession.sparkContext.broadcast(_filter(spans, "_id"))
     rows = docs.select(F.struct("*").alias("row"), _ordered(docs).alias("_id"))
@@ -330,7 +348,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     clean, others = _joined(docs)
     bytes_ = F.col("text").cast("binary")
     clean = clean.select("row.*").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(bytes_, 256).alias("kept_sha256"))
-    others = others.select("row.doc_id", F.col("row.text").cast("binary").alias("_bytes"), "_spans")
+    others = others.select("row.doc_id", F.col("row.text").cast("binary").alias("_bytes"), "_start", "_end")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     return clean.unionByName(others.mapInArrow(lambda b: _with_spans(b, False), schema))
 
@@ -339,7 +357,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with their repeated bytes taken out of ``text``; bytes of characters that were cut through go too."""
     rest = docs.drop("text")
     clean, others = _joined(docs)
-    others = others.select(F.struct(*(F.col("row")[c].alias(c) for c in rest.columns)).alias("row"), F.coalesce(F.col("row")["text"].cast("string"), F.lit("")).cast("binary").alias("_bytes"), "_spans")
+    others = others.select(F.struct(*(F.col("row")[c].alias(c) for c in rest.columns)).alias("row"), F.coalesce(F.col("row")["text"].cast("string"), F.lit("")).cast("binary").alias("_bytes"), "_start", "_end")
     fields = others.select("row", F.lit("").alias("text")).schema
     left = others.mapInArrow(lambda b: _with_spans(b, True), fields)
     left = left.select(F.struct("row.*", "text").alias("row"))

@@ -124,17 +124,26 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """Of each set the rarest shingles, so many that a set similar enough has one of them among its own, with their places."""
+    """Of each set the rarest shingles, so many that a set similar enough has one of them among its own, with their places.
+
+    Beside them the set's parities: bits that each shingle flips one of. Sets differ in as many shingles at least as parities.
+    """
     for batch in batches:
-        out = []
+        out, parities = [], []
         for node, component, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             own = hashes.values.to_numpy().view(np.uint64)
             n = len(own)
             order = np.lexsort((own, counts[own & np.uint64(len(counts) - 1)]))[: n - -(-percent * n // 100) + 1]
             out.append((own[order], np.full(len(order), node), np.full(len(order), component), np.arange(len(order)), np.full(len(order), n)))
+            flipped = np.bincount((own >> np.uint64(33)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES) & 1
+            parities.append(np.broadcast_to(np.packbits(flipped.astype(np.uint8)).view(np.int64), (len(order), PARITIES)))
         if out:
             hashes, node, component, place, n = (np.concatenate(c) for c in zip(*out, strict=True))
-            yield pa.RecordBatch.from_pydict({"hash": pa.array(hashes.view(np.int64)), "node": pa.array(node), "component": pa.array(component), "place": pa.array(place), "n": pa.array(n)})
+            bits = np.concatenate(parities)
+            yield pa.RecordBatch.from_pydict({
+                "hash": pa.array(hashes.view(np.int64)), "node": pa.array(node), "component": pa.array(component), "place": pa.array(place), "n": pa.array(n),
+                **{f"p{k}": pa.array(np.ascontiguousarray(bits[:, k])) for k in range(PARITIES)},
+            })
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -164,6 +173,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
 #: Counters of shingle frequencies that order prefixes; any number gives the same links.
 COUNTERS = 1 << 20
+#: Longs of parities of a set. More of them rule out more pairs before their sets are compared; none loses a pair.
+PARITIES = 16
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,15 +224,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     frequent = left.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(COUNTERS - 1).alias("at")).count().toArrow()  # COUNTERS rows at most
     counts = np.zeros(COUNTERS, dtype=np.int64)
     counts[frequent.column("at").to_numpy()] = frequent.column("count").to_numpy()
-    prefixes = left.mapInArrow(lambda b: _prefixes(b, counts, percent), "hash long, node long, component long, place long, n long")
+    prefixes = left.mapInArrow(lambda b: _prefixes(b, counts, percent), "hash long, node long, component long, place long, n long" + "".join(f", p{k} long" for k in range(PARITIES)))
     prefixes = cut(prefixes, "prefixes")
     several = prefixes.groupBy("hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("hash")
     prefixes = prefixes.join(several, "hash", "left_semi")
-    x, y = (prefixes.select("hash", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "place", "n"))) for side in "xy")
+    x, y = (prefixes.select("hash", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "place", "n", *(f"p{k}" for k in range(PARITIES))))) for side in "xy")
+    differ = " + ".join(f"bit_count(p{k}_x ^ p{k}_y)" for k in range(PARITIES))
     near = (
         "node_x > node_y and component_x <> component_y"
         f" and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
         f" and {100 + percent} * (least(n_x - place_x, n_y - place_y)) >= {percent} * (n_x + n_y)"
+        f" and {100 + percent} * ({differ}) <= {100 - percent} * (n_x + n_y)"
     )
     pairs = x.join(y, "hash").filter(near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
     more = cut(_similar(pairs, sets, percent), "more-links")

@@ -27,7 +27,7 @@ BEFORE, AFTER = WINDOW - 1, LENGTH
 #: Anchors with more contexts than this are dealt out by ranges of the place of the anchor in a string.
 MANY = 256
 #: Those ranges. Strings of a range share the bytes that all of them have.
-RANGES = ((0, 0), (1, 1), (2, 3), (4, 8), (9, 16), (17, 34), (35, BEFORE))
+RANGES = ((0, 3), (4, 16), (17, BEFORE))
 #: Bits of the filters that go to all executors. They only spare work: what passes is looked at exactly.
 FILTER_BITS = 1 << 26
 #: Bytes of contexts in a shard, and about how many are merged at once.

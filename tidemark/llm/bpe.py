@@ -31,7 +31,8 @@ SAMPLE_DOCS, KNOWN = 12_000, 1 << 17
 #: Words that a task numbers before it starts anew.
 NUMBERED = 1 << 19
 
-_NEVER = (1 << 31) - 1
+#: What ranks as never: one more than any id of 16 bits.
+_NEVER = 1 << 16
 _SLOTS, _GROUPS = 1 << 18, 1 << 16
 _BY_SLOT, _BY_GROUP = (1540483477, 31), (1640531527, 27)
 
@@ -84,37 +85,41 @@ class RankMap:
         key = F.shiftleft(a, 16).bitwiseOR(b)
         shift = F.get(self.shifts, F.shiftright(key * _BY_GROUP[0], _BY_GROUP[1]).bitwiseAND(_GROUPS - 1).cast("int"))
         slot = F.get(self.slots, (F.shiftright(key * _BY_SLOT[0], _BY_SLOT[1]) + shift).bitwiseAND(_SLOTS - 1).cast("int"))
-        # Of the right slot the rank is left, of any other one at least 1 << 16; that ranks as never.
+        # Of the right slot the rank is left, of any other one at least _NEVER.
         return F.least(slot.bitwiseXOR(F.shiftleft(key, 16)).bitwiseAND((1 << 63) - 1), F.lit(_NEVER).cast("bigint"))
 
 
 def merged(word: Column, rank: RankMap) -> Column:
     """The ids of a word given as the ids of its bytes: the leftmost pair of the least rank merges, until none can.
 
-    The fold's state is a long for each piece: the rank of its merge with the next one << 16 | its id.
+    The fold's state is a long for each piece: the rank of its merge with the next one << 23 | its place in the word << 16 | its
+    id. The least long is then the next merge.
     """
     never = F.lit(_NEVER).cast("bigint")
     own = lambda x: x.bitwiseAND(65535)
-    with_next = lambda a, b: a * 65536 + b
+    ranked = lambda r: F.shiftleft(r, 23)
 
     def step(state: Column, _: Column) -> Column:
         def at(best: Column) -> Column:
-            new = F.shiftright(best, 16)
+            new = F.shiftright(best, 23)
 
             def build(p: Column) -> Column:
-                before = F.when(p > 1, F.array(with_next(rank(own(F.get(state, p - 2)), new), own(F.get(state, p - 2))))).otherwise(F.array().cast("array<bigint>"))
-                here = with_next(F.when(p + 1 < F.size(state), rank(new, own(F.get(state, p + 1)))).otherwise(never), new)
+                last = F.get(state, p - 2)
+                before = F.when(p > 1, F.array(ranked(rank(own(last), new)).bitwiseOR(last.bitwiseAND((1 << 23) - 1)))).otherwise(F.array().cast("array<bigint>"))
+                follows = F.when(p + 1 < F.size(state), rank(new, own(F.get(state, p + 1)))).otherwise(never)
+                here = ranked(follows).bitwiseOR(best.bitwiseAND(127 << 16)).bitwiseOR(new)
                 return F.concat(F.slice(state, F.lit(1), F.greatest(p - 2, F.lit(0))), before, F.array(here), F.slice(state, p + 2, F.size(state)))
 
-            place = F.array_position(F.transform(state, lambda x: F.shiftright(x, 16)), new).cast("int")
-            return F.get(F.transform(F.array(place), build), 0)
+            return F.when(new >= _NEVER, state).otherwise(F.get(F.transform(F.array(F.array_position(state, best).cast("int")), build), 0))
 
-        least = F.array_min(state)
-        return F.when(least >= 1 << 32, state).otherwise(F.get(F.transform(F.array(least), at), 0))
+        return F.get(F.transform(F.array(F.array_min(state)), at), 0)
+
+    def begin(x: Column, i: Column) -> Column:
+        follows = F.when(i + 1 < F.size(word), rank(x.cast("bigint"), F.get(word, i + 1).cast("bigint"))).otherwise(never)
+        return ranked(follows).bitwiseOR(F.shiftleft(i.cast("bigint"), 16)).bitwiseOR(x)
 
-    begin = F.transform(word, lambda x, i: with_next(F.when(i + 1 < F.size(word), rank(x.cast("bigint"), F.get(word, i + 1).cast("bigint"))).otherwise(never), x))
     steps = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
-    return F.transform(F.aggregate(steps, begin, step), lambda x: own(x).cast("int"))
+    return F.transform(F.aggregate(steps, F.transform(word, begin), step), lambda x: own(x).cast("int"))
 
 
 def heap_merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -236,7 +241,7 @@ def _assembled(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], known
     pieces = {str(rank).encode(): piece for piece, rank in ranks.items()}
     first = len(ranks) + len(known)
     spelling = [str(i).encode() for i in range(len(ranks))] + list(known)
-    for batch in batches:
+    for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
         out = []
         for base, codes, words, long in zip(*(batch.column(k).to_pylist() for k in ("base", "codes", "words", "long")), strict=True):
             if base == first:

@@ -1,7 +1,9 @@
-"""Parquet tables by folder and name."""
+"""Parquet tables by folder and name, and tables that cut a plan in the shared folder."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,3 +21,26 @@ def importable(spark: SparkSession) -> None:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share; a local one only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        context = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = context.get() if context.isDefined() else None
+    if not found:
+        found = tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
+
+
+def new_dir(spark: SparkSession, what: str) -> str:
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back, so that lost executors cost no recomputation."""
+    path = new_dir(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -90,7 +90,7 @@ class RankMap:
 
 
 def merged(word: Column, rank: RankMap) -> Column:
-    """The ids of a word given as the ids of its bytes: the leftmost pair of the least rank merges, until none can.
+    """The ids of a word, not empty, given as the ids of its bytes: the leftmost pair of the least rank merges, until none can.
 
     The fold's state is a long for each piece: the rank of its merge with the next one << 23 | its place in the word << 16 | its
     id. The least long is then the next merge.

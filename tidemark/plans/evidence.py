@@ -33,7 +33,8 @@ def weighted_mean_available(spark, d):
     return _parts(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(v.weighted_mean(_MEAN), 6).alias("score"))
 
 
-_STEPS = [(F.col("a").isNull(), "cap", 0.5, "NO_VOTES"), (F.col("b").isNull(), "times", 0.6, "AMBIGUOUS"), (F.col("q") > 45, "times", 0.5, "CONFLICT")]
+def _steps():
+    return [(F.col("a").isNull(), "cap", 0.5, "NO_VOTES"), (F.col("b").isNull(), "times", 0.6, "AMBIGUOUS"), (F.col("q") > 45, "times", 0.5, "CONFLICT")]
 
 
 @query("identity_modifiers", f"""
@@ -43,7 +44,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(greatest(0.0, least
   concat_ws(',', CASE WHEN a IS NULL THEN 'NO_VOTES' END, CASE WHEN b IS NULL THEN 'AMBIGUOUS' END, CASE WHEN q > 45 THEN 'CONFLICT' END) AS reasons FROM z WHERE score IS NOT NULL""")
 def identity_modifiers(spark, d):
     rows = _parts(spark, d).withColumn("score", v.weighted_mean(_MEAN)).filter("score is not null")
-    score, why = v.modified(F.col("score"), _STEPS)
+    score, why = v.modified(F.col("score"), _steps())
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(score, 6).alias("score"), F.array_join(why, ",").alias("reasons"))
 
 
@@ -174,13 +175,13 @@ def tuning_conditional_counts(spark, d):
 
 @query("rep_summary_stats", """
 WITH r AS (SELECT o_custkey AS clip, o_orderkey AS i, o_totalprice AS v FROM orders)
-SELECT clip, count(*) AS n, round(max(v), 3) AS best, round(avg(v), 1) AS mean, round(stddev_pop(v), 0) AS sd, round(median(v), 0) AS middle,
+SELECT clip, count(*) AS n, round(max(v), 3) AS best, round(CAST(sum(CAST(round(v * 100) AS BIGINT)) AS DOUBLE) / CAST(count(*) AS DOUBLE), 0) AS mean, round(stddev_pop(v), 0) AS sd, round(median(v), 0) AS middle,
   round(100 * (arg_min(v, i) - arg_max(v, i)) / arg_min(v, i), 4) AS loss, round(avg(CAST(v < 150000 AS INTEGER)), 6) AS below FROM r GROUP BY clip""")
 def rep_summary_stats(spark, d):
     r = table(spark, d, "orders").select(F.col("o_custkey").alias("clip"), F.col("o_orderkey").alias("i"), F.col("o_totalprice").alias("v"))
     first, last = F.min_by("v", "i"), F.max_by("v", "i")
     return r.groupBy("clip").agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.max("v"), 3).alias("best"), F.round(F.avg("v"), 1).alias("mean"), F.round(F.stddev_pop("v"), 0).alias("sd"), F.round(F.percentile("v", 0.5), 0).alias("middle"),
+        F.count(F.lit(1)).alias("n"), F.round(F.max("v"), 3).alias("best"), F.round(F.sum(F.round(F.col("v") * 100).cast("long")) / F.count(F.lit(1)), 0).alias("mean"), F.round(F.stddev_pop("v"), 0).alias("sd"), F.round(F.percentile("v", 0.5), 0).alias("middle"),
         F.round(100 * (first - last) / first, 4).alias("loss"), F.round(F.avg((F.col("v") < 150000).cast("int")), 6).alias("below"),
     )
 

@@ -18,6 +18,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Longest word, in bytes, that the fold merges, whose steps grow with the square of the length; longer ones merge with a heap.
 LONGEST = 64
 #: Words that every task knows from the start: the most frequent ones of a sample of documents. They only save time.
-SAMPLE_DOCS, KNOWN = 12_000, 1 << 17
+SAMPLE_DOCS, KNOWN = 12_000, 1 << 18
 #: Words that a task numbers before it starts anew.
 NUMBERED = 1 << 19
 
@@ -188,45 +189,60 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
 
+class Numbers(dict):
+    """Numbers by word; a word that is not known yet gets the next number and joins ``new``."""
+
+    def __init__(self, words, base: int):
+        super().__init__(words)
+        self.next, self.new = base, []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = self.next
+        self.next += 1
+        self.new.append(word)
+        return number
+
+
 class Numbering:
     """Numbers of words: ids of words that are pieces themselves, then known words, then those that a task meets."""
 
     def __init__(self, ranks: dict[bytes, int], known: list[str]):
-        self.pieces = {}
-        for piece, rank in ranks.items():
+        self.ranks, self.known = ranks, known
+        self.first = len(ranks) + len(known)
+
+    def fresh(self) -> Numbers:
+        own = Numbers(zip(self.known, range(len(self.ranks), self.first), strict=True), self.first)
+        for piece, rank in self.ranks.items():
             try:
-                self.pieces[piece.decode()] = rank
+                own[piece.decode()] = rank
             except UnicodeDecodeError:
                 pass
-        self.first = len(ranks)
-        self.pieces |= {w: self.first + i for i, w in enumerate(known)}
-        self.first += len(known)
+        return own
 
     def rows(self, batches: Iterator[pa.RecordBatch], byte_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """(doc_id, base, codes, words, long) by document: its words' numbers, and bytes of the new ones from ``base`` on."""
-        numbers, base = dict(self.pieces), self.first
+        """(doc_id, base, codes, words, long) by document: its words' numbers, and the new ones, from number ``base`` on.
+
+        A new word is the ids of its bytes; a long one is none, and its bytes stand in ``long``.
+        """
+        numbers = self.fresh()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 bases, codes, sizes, lengths, values, longs = [], [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     words = words_of(text or "")
-                    if base + len(words) > self.first + NUMBERED and base > self.first:
-                        numbers, base = dict(self.pieces), self.first
-                    new = [w for w in dict.fromkeys(words) if w not in numbers]
-                    raw = [w.encode() for w in new]
-                    if raw and max(map(len, raw)) > LONGEST:  # long ones get the last numbers
-                        new = sorted(new, key=lambda w: len(w.encode()) > LONGEST)
-                        raw = [w.encode() for w in new]
-                    numbers.update(zip(new, range(base, base + len(new)), strict=True))
-                    short = [b for b in raw if len(b) <= LONGEST]
-                    bases.append(base)
-                    base += len(new)
+                    if numbers.next + len(words) > self.first + NUMBERED and numbers.next > self.first:
+                        numbers = self.fresh()
+                    bases.append(numbers.next)
                     codes.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words)).tobytes())
-                    sizes.append(len(short))
-                    lengths += map(len, short)
-                    values += short
-                    longs.append(raw[len(short) :])
+                    raw, numbers.new = [w.encode() for w in numbers.new], []
+                    long = [b for b in raw if len(b) > LONGEST]
+                    longs.append(long)
+                    if long:
+                        raw = [b if len(b) <= LONGEST else b"" for b in raw]
+                    sizes.append(len(raw))
+                    lengths += map(len, raw)
+                    values += raw
                 inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(byte_ids[np.frombuffer(b"".join(values), dtype=np.uint8)]))
                 outer = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), inner)
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "base": pa.array(bases, pa.int32()), "codes": pa.array(codes, pa.binary()), "words": outer, "long": pa.array(longs, pa.list_(pa.binary()))})
@@ -242,12 +258,18 @@ def _assembled(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], known
     first = len(ranks) + len(known)
     spelling = [str(i).encode() for i in range(len(ranks))] + list(known)
     for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
-        out = []
-        for base, codes, words, long in zip(*(batch.column(k).to_pylist() for k in ("base", "codes", "words", "long")), strict=True):
+        out, at = [], 0
+        words = batch.column("words")
+        met = pc.binary_join(words.flatten().cast(pa.list_(pa.string())), " ").cast(pa.binary()).to_pylist()
+        for base, codes, n, long in zip(batch.column("base").to_pylist(), batch.column("codes").to_pylist(), words.value_lengths().to_pylist(), batch.column("long").to_pylist(), strict=True):
             if base == first:
                 del spelling[first:]
-            spelling += map(_spelled, words)
-            spelling += [_spelled(heap_merged(w, ranks)) for w in long]
+            if long:
+                rest = iter(long)
+                spelling += [w or _spelled(heap_merged(next(rest), ranks)) for w in met[at : at + n]]
+            else:
+                spelling += met[at : at + n]
+            at += n
             spelled = b" ".join(map(spelling.__getitem__, np.frombuffer(codes, dtype=np.int32).tolist()))
             ids = spelled.split(b" ") if spelled else []
             decoded = b"".join(map(pieces.__getitem__, ids))
@@ -288,20 +310,18 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool
             ends = np.concatenate([[0], np.cumsum([len(b) for b in raw])]).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "bytes": pa.ListArray.from_arrays(pa.array(ends), pa.array(to_ids.value[np.frombuffer(b"".join(raw), dtype=np.uint8)]))})
 
-    spread = counts.select("word").repartition("word").mapInArrow(as_ids, "word string, bytes array<int>")
-    spelled = F.array_join(merged(F.col("bytes"), rank).cast("array<string>"), " ")
-    known = spread.select("word", spelled.alias("ids")).toArrow().sort_by("word").to_pydict()  # KNOWN rows at most
-    known = [(w, i) for w, i in zip(known["word"], known["ids"], strict=True) if w.encode() not in ranks]
-    shared = spark.sparkContext.broadcast((ranks, [w for w, _ in known], [i.encode() for _, i in known]))
+    spread = counts.select("word").repartition(16, "word").mapInArrow(as_ids, "word string, bytes array<int>")
+    spelled = F.array_join(merged(F.col("bytes"), rank).cast("array<string>"), " ").cast("binary")
+    known = spread.select("word", spelled.alias("ids")).toArrow().sort_by("word")  # KNOWN rows at most
+    known = known.filter(pa.array([w.encode() not in ranks for w in known.column("word").to_pylist()], pa.bool_()))
+    shared_ranks, shared_words, shared_ids = (spark.sparkContext.broadcast(x) for x in (ranks, known.column("word").combine_chunks(), known.column("ids").combine_chunks()))
     del known
 
     def number(batches):
-        table_, words, _ = shared.value
-        yield from Numbering(table_, words).rows(batches, to_ids.value)
+        yield from Numbering(shared_ranks.value, shared_words.value.to_pylist()).rows(batches, to_ids.value)
 
     def assemble(batches):
-        table_, _, spelled = shared.value
-        yield from _assembled(batches, table_, spelled, with_ids)
+        yield from _assembled(batches, shared_ranks.value, shared_ids.value.to_pylist(), with_ids)
 
     numbered = texts.mapInArrow(number, "doc_id long, base int, codes binary, words array<array<int>>, long array<binary>")
     folded = numbered.select("doc_id", "base", "codes", F.transform("words", lambda w: merged(w, rank)).alias("words"), "long")

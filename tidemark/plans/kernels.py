@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.operators import greedy as g
+from tidemark.operators import signals
 from tidemark.plans import EVENTS, events
 from tidemark.registry import query
 from tidemark.sources.tables import table
@@ -233,3 +234,79 @@ def best_run_in_budget(spark, d):
         return rows.iloc[a:z][["k", "id"]]
 
     return g.per_key(_milli(spark, d).select("k", "id", "s", "e", "x"), ["k"], ["s", "id"], kernel, "k long, id long")
+
+
+@query("adaptive_low_pass")
+def adaptive_low_pass(spark, d):
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[["k", "id"]].assign(smooth=signals.adaptive_low_pass(rows.x / 1000, 30.0).round(6))
+
+    return g.per_key(_milli(spark, d).select("k", "id", "s", "x"), ["k"], ["s", "id"], kernel, "k long, id long, smooth double")
+
+
+@query("polynomial_smooth")
+def polynomial_smooth(spark, d):
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[["k", "id"]].assign(smooth=signals.polynomial_smooth(rows.x / 1000).round(6))
+
+    return g.per_key(_milli(spark, d).select("k", "id", "s", "x"), ["k"], ["s", "id"], kernel, "k long, id long, smooth double")
+
+
+@query("flight_segments")
+def flight_segments(spark, d):
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        found = signals.flights(rows.x / 1000, rows.x / 500, 4.0, 100.0)
+        return pd.DataFrame({"k": [rows.k.iloc[0]] * len(found), "a": [f[0] for f in found], "z": [f[1] for f in found], "height": [round(f[2], 6) for f in found]})
+
+    return g.per_key(_milli(spark, d).select("k", "id", "s", "x"), ["k"], ["s", "id"], kernel, "k long, a int, z int, height double")
+
+
+@query("low_then_high_events", f"""
+WITH RECURSIVE {_MILLI}, o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s, id) - 1 AS i FROM ev
+), h AS (SELECT a.k, a.i AS a, min(b.i) AS z FROM o a JOIN o b ON a.k = b.k AND b.i >= a.i AND b.i < a.i + 6 WHERE a.x < 3000 AND b.x > 20000 GROUP BY a.k, a.i
+), r AS (
+  SELECT k, min(a) AS a, arg_min(z, a) AS z FROM h GROUP BY k
+  UNION ALL
+  SELECT k, a, z FROM (SELECT r.k, h.a, h.z, row_number() OVER (PARTITION BY r.k ORDER BY h.a) AS n FROM r JOIN h ON h.k = r.k AND h.a >= r.z + 2) WHERE n = 1
+)
+SELECT k, a, z FROM r""")
+def low_then_high_events(spark, d):
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        found = signals.low_then_high(rows.x < 3000, rows.x > 20000, 6, 2)
+        return pd.DataFrame({"k": [rows.k.iloc[0]] * len(found), "a": [f[0] for f in found], "z": [f[1] for f in found]})
+
+    return g.per_key(_milli(spark, d).select("k", "id", "s", "x"), ["k"], ["s", "id"], kernel, "k long, a long, z long")
+
+
+@query("camera_path")
+def camera_path(spark, d):
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        x = (rows.id % 1000).to_numpy(dtype=float)
+        path, _ = signals.camera_path(x, np.where(rows.id % 4 == 0, np.nan, x[::-1]), 500.0, len(x) // 2, 400.0, 1000.0)
+        return rows[["k", "id"]].assign(centre=path.round(6))
+
+    return g.per_key(events(spark, d).select("k", "id", "s"), ["k"], ["s", "id"], kernel, "k long, id long, centre double")
+
+
+@query("neutral_zone")
+def neutral_zone(spark, d):
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        found = signals.neutral_zone(rows.l_quantity, 1.5)
+        return pd.DataFrame({"l_orderkey": [rows.l_orderkey.iloc[0]], "line": [found[0] if found else None], "score": [found[1] if found else 0.0]})
+
+    return g.per_key(table(spark, d, "lineitem").select("l_orderkey", "l_quantity"), ["l_orderkey"], ["l_quantity"], kernel, "l_orderkey long, line double, score double")
+
+
+@query("edit_timelines")
+def edit_timelines(spark, d):
+    """Timelines of a customer's orders, each a moment at its price's remainder by 60."""
+
+    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in rows.itertuples():
+            impact = float(r.o_totalprice % 60)
+            plan = signals.edit_timeline(impact - 2 if r.o_orderkey % 3 else None, impact, 70.0, angles=[(5.0, 9.0)] if r.o_orderkey % 2 else [])
+            out += [(r.o_custkey, r.o_orderkey, p["kind"], round(p["start"], 4), round(p["end"], 4)) for p in plan]
+        return pd.DataFrame(out, columns=["o_custkey", "o_orderkey", "kind", "start", "end"])
+
+    return g.per_key(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderkey"], kernel, "o_custkey long, o_orderkey long, kind string, start double, end double")

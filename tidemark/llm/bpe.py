@@ -28,7 +28,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Longest word, in bytes, that the fold merges, whose steps grow with the square of the length; longer ones merge with a heap.
 LONGEST = 64
 #: Words that every task knows from the start: the most frequent ones of a sample of documents. They only save time.
-SAMPLE_DOCS, KNOWN = 12_000, 1 << 18
+SAMPLE_DOCS, KNOWN = 12_000, 1 << 19
 #: Words that a task numbers before it starts anew.
 NUMBERED = 1 << 19
 
@@ -313,7 +313,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool
     spread = counts.select("word").repartition(16, "word").mapInArrow(as_ids, "word string, bytes array<int>")
     spelled = F.array_join(merged(F.col("bytes"), rank).cast("array<string>"), " ").cast("binary")
     known = spread.select("word", spelled.alias("ids")).toArrow().sort_by("word")  # KNOWN rows at most
-    known = known.filter(pa.array([w.encode() not in ranks for w in known.column("word").to_pylist()], pa.bool_()))
+    known = known.filter(pc.invert(pc.is_in(known.column("word").cast(pa.binary()), value_set=pa.array(list(ranks), pa.binary()))))
     shared_ranks, shared_words, shared_ids = (spark.sparkContext.broadcast(x) for x in (ranks, known.column("word").combine_chunks(), known.column("ids").combine_chunks()))
     del known
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.topk import placed
+
 
 def weighted_mean(parts: dict[str, float]) -> Column:
     """The mean of the columns by their weights; nulls count in neither sum; null if all are null."""
@@ -97,4 +98,4 @@ def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
 def most_common(df: DataFrame, value: str, order: str) -> DataFrame:
     """Counts by value with their rank; equal counts rank by first appearance."""
     counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_first"))
-    return counts.withColumn("rank", F.row_number().over(W.orderBy(F.desc("n"), "_first"))).drop("_first")  # one row per value
+    return placed(counts, [F.desc("n"), F.col("_first")]).withColumnRenamed("place", "rank").drop("_first")

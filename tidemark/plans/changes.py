@@ -9,11 +9,11 @@ from tidemark.registry import query
 from tidemark.sources.tables import table
 
 
-def _arrivals(spark, d):
+def arrivals(rows):
     """Each event's type and hundredths as a payload for one of 3000 ids, some arriving again, some invalid."""
     amount = F.floor(F.col("value") * 100).cast("long")
     payload = F.concat(F.lit('{"amount":'), F.when(F.col("event_id") % 3 == 0, F.lit(500)).otherwise(amount).cast("string"), F.lit("}"))
-    return table(spark, d, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 3000).cast("string").alias("event_id"), payload.alias("payload"))
+    return rows.select(F.col("event_id").alias("seq"), (F.col("event_id") % 3000).cast("string").alias("event_id"), payload.alias("payload"))
 
 
 _ARRIVALS = """a AS (
@@ -25,14 +25,18 @@ _ARRIVALS = """a AS (
 )"""
 
 
-@query("idempotent_apply", f"""
+def outcomes_sql() -> str:
+    return f"""
 WITH {_ARRIVALS}
 SELECT v.seq, v.event_id, CASE WHEN NOT valid THEN 'invalid' WHEN v.seq = f.seq THEN 'applied' WHEN v.digest = f.digest THEN 'duplicate' ELSE 'conflict' END AS outcome
-FROM v LEFT JOIN f USING (event_id)""")
+FROM v LEFT JOIN f USING (event_id)"""
+
+
+@query("idempotent_apply", outcomes_sql())
 def idempotent_apply(spark, d):
     from tidemark.streaming.inbox import parsed
 
-    return c.applied(parsed(_arrivals(spark, d))).select("seq", "event_id", "outcome")
+    return c.applied(parsed(arrivals(table(spark, d, "events")))).select("seq", "event_id", "outcome")
 
 
 @query("account_balance", f"""
@@ -40,7 +44,7 @@ WITH {_ARRIVALS} SELECT CAST(sum(amount) AS BIGINT) AS balance, count(*) AS vers
 def account_balance(spark, d):
     from tidemark.streaming.inbox import parsed
 
-    rows = c.applied(parsed(_arrivals(spark, d))).filter("outcome = 'applied'")
+    rows = c.applied(parsed(arrivals(table(spark, d, "events")))).filter("outcome = 'applied'")
     return rows.agg(F.sum("amount").alias("balance"), F.count(F.lit(1)).alias("version"))
 
 

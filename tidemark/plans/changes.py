@@ -59,12 +59,12 @@ def status_upsert(spark, d):
 
 
 @query("ledger_free_append", """
-SELECT event_id AS id, '2024-01-' || lpad(CAST(event_id % 5 + 10 AS VARCHAR), 2, '0') AS date FROM events WHERE event_id % 5 <> 2 AND event_id < 5000
-UNION ALL SELECT event_id, '2024-01-12' FROM events WHERE event_id >= 9000""")
+SELECT event_id AS id, strftime(ts, '%Y-%m-%d') AS date FROM events WHERE event_type <> 'purchase' AND strftime(ts, '%Y-%m-%d') <> '2024-01-12'
+UNION ALL SELECT event_id, '2024-01-12' FROM events WHERE event_type = 'purchase'""")
 def ledger_free_append(spark, d):
-    rows = table(spark, d, "events")
-    ledger = rows.filter("event_id < 5000").select(F.col("event_id").alias("id"), F.concat(F.lit("2024-01-"), F.lpad((F.col("event_id") % 5 + 10).cast("string"), 2, "0")).alias("date"))
-    return c.ledger_after(ledger, rows.filter("event_id >= 9000").select(F.col("event_id").alias("id")), "2024-01-12", force=True)
+    rows = table(spark, d, "events").select("event_type", F.col("event_id").alias("id"), F.date_format("ts", "yyyy-MM-dd").alias("date"))
+    batch = rows.filter("event_type = 'purchase'").select("id")
+    return c.ledger_after(rows.filter("event_type <> 'purchase'").select("id", "date"), batch, "2024-01-12", force=True)
 
 
 @query("reason_union_sorted", """

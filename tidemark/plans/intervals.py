@@ -11,7 +11,6 @@ from tidemark.registry import query
 from tidemark.sources.tables import table
 
 HOUR = 3_600_000_000
-DAY = 24 * HOUR
 
 
 def _side(df, x):
@@ -137,14 +136,13 @@ def kept_time_remap(spark, d):
 
 
 @query("same_time_others", f"""
-WITH {EVENTS}, x AS (SELECT *, s // {DAY} AS day FROM ev)
-SELECT a.id, count(DISTINCT b.k) AS others, round(avg(CAST(abs(a.value - b.value) < 5 AS INTEGER)), 6) AS near
-FROM x a JOIN x b ON a.day = b.day AND a.w = b.w AND a.k <> b.k WHERE a.w = 'error' AND a.k < 20 GROUP BY a.id""")
+WITH {EVENTS}, x AS (SELECT *, s // {HOUR} AS h FROM ev WHERE w = 'error')
+SELECT a.id, count(DISTINCT b.k) AS others, round(avg(CAST(abs(a.value - b.value) < 5 AS INTEGER)), 6) AS near FROM x a JOIN x b ON a.h = b.h AND a.k <> b.k GROUP BY a.id""")
 def same_time_others(spark, d):
-    ev = events(spark, d).withColumn("day", F.floor(F.col("s") / DAY)).filter("w = 'error'")
-    a, b = ev.filter("k < 20").select("day", "id", F.col("k").alias("ka"), F.col("value").alias("va")), ev.select("day", F.col("k").alias("kb"), F.col("value").alias("vb"))
+    ev = events(spark, d).withColumn("h", F.floor(F.col("s") / HOUR)).filter("w = 'error'")
+    a, b = ev.select("h", "id", F.col("k").alias("ka"), F.col("value").alias("va")), ev.select("h", F.col("k").alias("kb"), F.col("value").alias("vb"))
     near = F.avg((F.abs(F.col("va") - F.col("vb")) < 5).cast("int"))
-    return a.join(b, "day").filter("ka <> kb").groupBy("id").agg(F.countDistinct("kb").alias("others"), F.round(near, 6).alias("near"))
+    return a.join(b, "h").filter("ka <> kb").groupBy("id").agg(F.countDistinct("kb").alias("others"), F.round(near, 6).alias("near"))
 
 
 @query("decision_override", """

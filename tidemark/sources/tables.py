@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -31,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         found = context.get() if context.isDefined() else None
     if not found:
         found = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 

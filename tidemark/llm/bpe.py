@@ -28,7 +28,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Longest word, in bytes, that the fold merges, whose steps grow with the square of the length; longer ones merge with a heap.
 LONGEST = 64
 #: Words that every task knows from the start: the most frequent ones of a sample of documents. They only save time.
-SAMPLE_DOCS, KNOWN = 25_000, 5 << 16
+SAMPLE_DOCS, KNOWN = 25_000, 1 << 18
 #: Words that a task numbers before it starts anew.
 NUMBERED = 1 << 19
 

@@ -38,9 +38,8 @@ def test_bpe_equals_the_library(spark, monkeypatch, known, numbered):
 def test_heap_and_fold_agree(spark):
     ranks = bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY))
     words = sorted({w.encode() for k in range(30) for w in bpe.words_of(fixtures.prose(k, 30))} | {b"a", b"aaaa", b"\xff\xfe"})
-    rank = bpe.RankMap(ranks)
     df = spark.createDataFrame([(w, [ranks[bytes([c])] for c in w]) for w in words], "w binary, b array<int>")
-    for r in df.select("w", bpe.merged(bpe.F.col("b"), rank).alias("ids")).collect():
+    for r in df.select("w", bpe.with_ranks(ranks, lambda rank: bpe.merged(bpe.F.col("b"), rank)).alias("ids")).collect():
         assert list(r.ids) == bpe.heap_merged(bytes(r.w), ranks)
 
 

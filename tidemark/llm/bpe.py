@@ -12,7 +12,7 @@ import hashlib
 import heapq
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from pathlib import Path
 
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import cut, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Longest word, in bytes, that the fold merges, whose steps grow with the square of the length; longer ones merge with a heap.
@@ -75,12 +75,10 @@ def hashed_map(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
 
 
 class RankMap:
-    """The literal map from two ranks to that of their merge. It is constant and folds into one literal."""
+    """The literal map from two ranks to that of their merge, as the two arrays of its perfect hash."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        shifts, slots = hashed_map(pair_ranks(ranks))
-        self.shifts = F.split(F.lit(",".join(map(str, shifts))), ",").cast("array<int>")
-        self.slots = F.split(F.lit(",".join(map(str, slots))), ",").cast("array<bigint>")
+    def __init__(self, shifts: Column, slots: Column):
+        self.shifts, self.slots = shifts, slots
 
     def __call__(self, a: Column, b: Column) -> Column:
         key = F.shiftleft(a, 16).bitwiseOR(b)
@@ -90,6 +88,14 @@ class RankMap:
         return F.least(slot.bitwiseXOR(F.shiftleft(key, 16)).bitwiseAND((1 << 63) - 1), F.lit(_NEVER).cast("bigint"))
 
 
+def with_ranks(ranks: dict[bytes, int], body: Callable[[RankMap], Column]) -> Column:
+    """``body`` with the literal map. It folds into one literal, bound to a variable so that a plan shows it once."""
+    shifts, slots = hashed_map(pair_ranks(ranks))
+    text = lambda values: F.split(F.lit(",".join(map(str, values))), ",")
+    tables = F.struct(text(shifts).cast("array<int>").alias("shifts"), text(slots).cast("array<bigint>").alias("slots"))
+    return F.get(F.transform(F.array(tables), lambda t: body(RankMap(t["shifts"], t["slots"]))), 0)
+
+
 def merged(word: Column, rank: RankMap) -> Column:
     """The ids of a word, not empty, given as the ids of its bytes: the leftmost pair of the least rank merges, until none can.
 
@@ -295,7 +301,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool
         vocabulary = public_tokenizers.path(VOCABULARY)
     spark = docs.sparkSession
     ranks = read_ranks(vocabulary)
-    rank, byte_ids = RankMap(ranks), np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+    byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     sample = texts.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
@@ -310,9 +316,9 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool
             ends = np.concatenate([[0], np.cumsum([len(b) for b in raw])]).astype(np.int32)
             yield pa.RecordBatch.from_pydict({"word": batch.column("word"), "bytes": pa.ListArray.from_arrays(pa.array(ends), pa.array(to_ids.value[np.frombuffer(b"".join(raw), dtype=np.uint8)]))})
 
-    spread = counts.select("word").repartition(16, "word").mapInArrow(as_ids, "word string, bytes array<int>")
-    spelled = F.array_join(merged(F.col("bytes"), rank).cast("array<string>"), " ").cast("binary")
-    known = spread.select("word", spelled.alias("ids")).toArrow().sort_by("word")  # KNOWN rows at most
+    spread = cut(counts.select("word").repartition(16, "word").mapInArrow(as_ids, "word string, bytes array<int>"), "words")
+    ids = with_ranks(ranks, lambda rank: merged(F.col("bytes"), rank))
+    known = spread.select("word", F.array_join(ids.cast("array<string>"), " ").cast("binary").alias("ids")).toArrow().sort_by("word")  # KNOWN rows at most
     known = known.filter(pc.invert(pc.is_in(known.column("word").cast(pa.binary()), value_set=pa.array(list(ranks), pa.binary()))))
     shared_ranks, shared_words, shared_ids = (spark.sparkContext.broadcast(x) for x in (ranks, known.column("word").combine_chunks(), known.column("ids").combine_chunks()))
     del known
@@ -324,7 +330,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool
         yield from _assembled(batches, shared_ranks.value, shared_ids.value.to_pylist(), with_ids)
 
     numbered = texts.mapInArrow(number, "doc_id long, base int, codes binary, words array<array<int>>, long array<binary>")
-    folded = numbered.select("doc_id", "base", "codes", F.transform("words", lambda w: merged(w, rank)).alias("words"), "long")
+    folded = numbered.select("doc_id", "base", "codes", with_ranks(ranks, lambda rank: F.transform("words", lambda w: merged(w, rank))).alias("words"), "long")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
     return folded.mapInArrow(assemble, schema)
 

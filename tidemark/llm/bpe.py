@@ -31,6 +31,8 @@ LONGEST = 64
 SAMPLE_DOCS, KNOWN = 25_000, 1 << 18
 #: Words that a task numbers before it starts anew.
 NUMBERED = 1 << 19
+#: Documents that go from stage to stage together.
+BATCH = 500
 
 #: What ranks as never: one more than any id of 16 bits.
 _NEVER = 1 << 16
@@ -232,8 +234,8 @@ class Numbering:
         """
         numbers = self.fresh()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
                 bases, codes, sizes, lengths, values, longs = [], [], [], [], [], []
                 for text in part.column(1).to_pylist():
                     words = words_of(text or "")
@@ -263,7 +265,7 @@ def _assembled(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], known
     pieces = {str(rank).encode(): piece for piece, rank in ranks.items()}
     first = len(ranks) + len(known)
     spelling = [str(i).encode() for i in range(len(ranks))] + list(known)
-    for batch in (whole.slice(at, 500) for whole in batches for at in range(0, whole.num_rows, 500)):
+    for batch in (whole.slice(at, BATCH) for whole in batches for at in range(0, whole.num_rows, BATCH)):
         out, at = [], 0
         words = batch.column("words")
         met = pc.binary_join(words.flatten().cast(pa.list_(pa.string())), " ").cast(pa.binary()).to_pylist()
@@ -332,7 +334,14 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool
     numbered = texts.mapInArrow(number, "doc_id long, base int, codes binary, words array<array<int>>, long array<binary>")
     folded = numbered.select("doc_id", "base", "codes", with_ranks(ranks, lambda rank: F.transform("words", lambda w: merged(w, rank))).alias("words"), "long")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * with_ids
-    return folded.mapInArrow(assemble, schema)
+    # Small batches keep what lies between the two Python stages small; the setting holds while the result is written.
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH)
+    try:
+        return cut(folded.mapInArrow(assemble, schema), "encoded")
+    finally:
+        spark.conf.set(key, before)
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,6 +175,39 @@ def test_neighbours_leave_bad_vectors_out(spark):
     assert neighbours.nearest(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def exact_neighbours(x, q, k=20):
+    s = x @ x[q]
+    return [int(i) for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:k]
+
+
+@pytest.mark.parametrize("norms", ["one", "lognormal"])
+def test_neighbours_of_widely_spread_norms(spark, norms):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= np.where(np.arange(3000) == 11, 100.0, 1.0)[:, None] if norms == "one" else np.exp(rng.normal(size=3000))[:, None]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in neighbours.nearest(vectors.filter("vec_id % 20 = 0"), vectors).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(found[q]) == 20 for q in range(0, 3000, 20))
+    assert sum(len(found[q] & set(exact_neighbours(x, q))) for q in range(0, 3000, 20)) / (150 * 20) >= 0.93
+    if norms == "one":
+        assert all((11 in found[q]) == (11 in exact_neighbours(x, q)) for q in range(0, 3000, 20))
+
+
+@pytest.mark.parametrize("n", [15, 60])
+def test_neighbours_with_few_met_are_searched_whole(spark, n):
+    x = np.random.default_rng(6).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = neighbours.nearest(vectors, vectors, tables=1, probes=1, block=8).collect()
+    found = {}
+    for r in sorted(rows, key=lambda r: (r.query_id, r["rank"])):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found == {q: exact_neighbours(x, q) for q in range(n)}
+
+
 def split_by_hand(sizes, limit):
     """Extendible hashing as a loop: oversized buckets split on their next bit."""
     bits = {i: format(int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16), "060b") for i in sizes}

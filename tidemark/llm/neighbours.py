@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 Fast Hadamard pseudo-rotations turn unit vectors; the nearest signed axis is a vector's bucket in a table. A query probes
-the nearest axes of every table, and all that it meets is reranked by exact inner products.
+the nearest axes of every table, and all that it meets is reranked by exact inner products. Directions say little of
+inner products where few vectors are long, so sparse bands of norms are compared with every query; so is the whole table
+with queries that meet fewer than k rows.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,8 +21,10 @@ from tidemark.llm.common import cut, table
 #: Tables, axes that a query probes in each, and rows of a block of a bucket. Recall on 10,000 and more vectors of 64
 #: dimensions that are noise around few centres is 0.98; of 500 such it is 0.95; clustered vectors are easier.
 TABLES, PROBES, BLOCK = 8, 16, 1024
-#: Norms that differ by less than this share count as equal.
-SPREAD = 1e-3
+#: A band of norms within a factor of two that has no more rows than this is compared whole, if there are several bands.
+SPARSE = 512
+#: Buckets of sparse bands, and of the whole table.
+BAND, ALL = -1, -2
 
 
 def rotations(dimensions: int, tables: int, seed: int = 7) -> np.ndarray:
@@ -59,22 +63,19 @@ def _matrix(batch) -> np.ndarray:
     return lists.flatten().to_numpy().reshape(len(lists), -1)
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], norms: dict[int, tuple[float, float]], tables: int, probes: int, query: bool) -> Iterator[pa.RecordBatch]:
-    """Adds the buckets of each vector. Where norms differ, candidates get one more dimension that makes them equally
-    long, which turns the largest inner product into the smallest angle; queries have zero there."""
+def _hashed(batches: Iterator[pa.RecordBatch], longest: dict[int, float], tables: int, probes: int) -> Iterator[pa.RecordBatch]:
+    """Adds the buckets of each vector, and how many times its norm goes into the longest of its size, as a power of two."""
     for batch in batches:
         size = np.array([len(v) for v in batch.column("vector")])
         for d in np.unique(size):
             part = batch.filter(pa.array(size == d))
             x = _matrix(part)
-            low, high = norms[int(d)]
-            if high - low > SPREAD * high:
-                more = np.zeros((len(x), 1)) if query else np.sqrt(np.maximum(high**2 - (x**2).sum(axis=1, keepdims=True), 0))
-                x = np.concatenate([x, more], axis=1)
+            share = np.sqrt(((x / longest[int(d)]) ** 2).sum(axis=1))
+            band = np.maximum(np.floor(-np.log2(np.maximum(share, 1e-300))), 0).astype(np.int32)
             found = axes(x, rotations(x.shape[1], tables), probes)
             flat = (found + np.arange(tables)[None, :, None] * (1 << 20)).reshape(len(x), -1)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.reshape(-1).astype(np.int32)))
-            yield pa.RecordBatch.from_pydict({"id": part.column("id"), "vector": part.column("vector"), "buckets": keys})
+            yield pa.RecordBatch.from_pydict({"id": part.column("id"), "vector": part.column("vector"), "band": pa.array(band), "buckets": keys})
 
 
 def _search(k: int):
@@ -102,7 +103,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, tables: int = T
     """The ``k`` rows of ``vectors`` with the largest inner products for every row of ``queries``, but the row itself.
 
     Both have vec_id and embedding. Returns query_id, rank from 1, vec_id, score; ties go to the smaller vec_id; fewer rows
-    where fewer are found. Rows without vec_id and vectors that are null, empty, zero or hold null or non-finite
+    only where there are fewer candidates. Rows without vec_id and vectors that are null, empty, zero or hold null or non-finite
     components take no part; vectors meet those of their own length. Equal vectors are searched once and only the first
     k + 1 of them, by vec_id, are candidates: no more can be among k. Buckets are cut into blocks of ``block`` rows, so
     that no task holds a bucket. Rows that repeat a vec_id count once each; other columns are ignored.
@@ -115,31 +116,46 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, tables: int = T
 
     vectors, queries = clean(vectors), clean(queries)
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v))
-    norms = {r.d: (r.low, r.high) for r in vectors.groupBy(F.size("vector").alias("d")).agg(F.min(norm).alias("low"), F.max(norm).alias("high")).collect()}
+    longest = {r.d: r.high for r in vectors.groupBy(F.size("vector").alias("d")).agg(F.max(norm).alias("high")).collect()}
     first = F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))
     candidates = vectors.withColumn("_n", first).filter(F.col("_n") <= k + 1).select(F.col("vec_id").alias("id"), "vector")
     asked = cut(queries.groupBy("vector").agg(F.min("vec_id").alias("id")), "queries")
 
-    schema = "id long, vector array<double>, buckets array<int>"
-    known = F.size("vector").isin([*norms, -1])
-    index = cut(candidates.mapInArrow(lambda b: _hashed(b, norms, tables, 1, False), schema), "index")
-    probing = cut(asked.filter(known).select("id", "vector").mapInArrow(lambda b: _hashed(b, norms, tables, probes, True), schema), "probes")
-
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.select("id", "vector", F.size("vector").alias("d"), F.explode("buckets").alias("bucket"))
-
-    nc = dealt(index).groupBy("d", "bucket").agg(F.count(F.lit(1)).alias("nc"))
-    nq = dealt(probing).groupBy("d", "bucket").agg(F.count(F.lit(1)).alias("nq"))
-    blocks = nc.join(nq, ["d", "bucket"]).select("d", "bucket", F.expr(f"(nc + {block - 1}) div {block}").alias("cb"), F.expr(f"(nq + {block - 1}) div {block}").alias("qb"))
-    blocks = F.broadcast(cut(blocks, "blocks"))  # a row for each signed axis of each table at most
-    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = dealt(index).join(blocks, ["d", "bucket"]).select("id", "vector", "d", "bucket", F.lit(False).alias("asks"), own("cb").alias("c"), each("qb").alias("q"))
-    right = dealt(probing).join(blocks, ["d", "bucket"]).select("id", "vector", "d", "bucket", F.lit(True).alias("asks"), each("cb").alias("c"), own("qb").alias("q"))
-    met = left.unionByName(right).groupBy("d", "bucket", "c", "q").applyInArrow(_search(k + 1), "rep long, vec_id long, score double")
-    found = met.groupBy("rep", "vec_id").agg(F.max("score").alias("score"))
-    best = W.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
-    found = cut(found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1).drop("_n"), "found")
+    schema = "id long, vector array<double>, band int, buckets array<int>"
+    known, d = F.size("vector").isin([*longest, -1]), F.size("vector").alias("d")
+    index = cut(candidates.mapInArrow(lambda b: _hashed(b, longest, tables, 1), schema), "index").withColumn("d", d)
+    probing = cut(asked.filter(known).select("id", "vector").mapInArrow(lambda b: _hashed(b, longest, tables, probes), schema), "probes").withColumn("d", d)
+
+    def dealt(df: DataFrame, buckets: Column) -> DataFrame:
+        return df.select("id", "vector", "d", F.explode(buckets).alias("bucket"))
+
+    def compared(left: DataFrame, right: DataFrame) -> DataFrame:
+        """The k + 1 best of ``left`` in each pair of blocks of a bucket, for the rows of ``right``."""
+        nc = left.groupBy("d", "bucket").agg(F.count(F.lit(1)).alias("nc"))
+        nq = right.groupBy("d", "bucket").agg(F.count(F.lit(1)).alias("nq"))
+        blocks = nc.join(nq, ["d", "bucket"]).select("d", "bucket", F.expr(f"(nc + {block - 1}) div {block}").alias("cb"), F.expr(f"(nq + {block - 1}) div {block}").alias("qb"))
+        blocks = F.broadcast(cut(blocks, "blocks"))  # a row for each signed axis of each table at most, and one for sparse bands
+        own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        left = left.join(blocks, ["d", "bucket"]).select("id", "vector", "d", "bucket", F.lit(False).alias("asks"), own("cb").alias("c"), each("qb").alias("q"))
+        right = right.join(blocks, ["d", "bucket"]).select("id", "vector", "d", "bucket", F.lit(True).alias("asks"), each("cb").alias("c"), own("qb").alias("q"))
+        met = left.unionByName(right).groupBy("d", "bucket", "c", "q").applyInArrow(_search(k + 1), "rep long, vec_id long, score double")
+        found = met.groupBy("rep", "vec_id").agg(F.max("score").alias("score"))
+        best = W.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= k + 1).drop("_n")
+
+    bands = F.broadcast(index.groupBy("d", "band").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_bands", F.count(F.lit(1)).over(W.partitionBy("d"))))  # no more than exponents of a double, by size
+    sparse = (F.col("_bands") > 1) & (F.col("_rows") <= SPARSE)
+    placed = F.when(sparse, F.array(F.lit(BAND))).otherwise(F.col("buckets"))
+    found = cut(compared(dealt(index.join(bands, ["d", "band"]), placed), dealt(probing, F.concat("buckets", F.array(F.lit(BAND))))), "found")
+
+    there = F.broadcast(index.groupBy("d").agg(F.least(F.count(F.lit(1)), F.lit(k + 1)).alias("_there")))
+    counts = found.groupBy(F.col("rep").alias("id")).agg(F.count(F.lit(1)).alias("_found"))
+    short = cut(probing.join(there, "d").join(counts, "id", "left").filter("coalesce(_found, 0) < _there").select("id", "vector", "d"), "short")
+    if not short.isEmpty():
+        every = F.array(F.lit(ALL))
+        exact = compared(dealt(index, every), dealt(short, every))
+        found = cut(found.join(short.select(F.col("id").alias("rep")), "rep", "left_anti").unionByName(exact), "exact")
 
     rows = queries.join(asked.withColumnRenamed("id", "rep"), "vector").select(F.col("vec_id").alias("query_id"), "rep")
     rows = rows.join(found, "rep").filter("vec_id <> query_id")

@@ -197,3 +197,17 @@ def test_vectors(spark):
     sims = {r.id: r.s for r in df.select("id", vectors.cosine("v", F.array(F.lit(6.0), F.lit(8.0))).alias("s")).collect()}
     assert sims == {1: pytest.approx(1.0), 2: 0.0, 3: 0.0, 4: 0.0}
     assert {r.l: r.v for r in vectors.mean_unit(df, ["l"], "v").collect()} == {"a": [0.6, 0.8], "b": [1.0]}
+
+
+def test_chained_duplicates_are_merged(spark):
+    rows = [
+        (1, "g1", "p1", "p1", 0, 10, 0.8, 0.5, [7, 7]), (2, "g1", "p2", None, 4, 14, 0.9, 0.1, [8]), (3, "g1", "p3", None, 8, 18, 0.9, 0.3, [7, 9, 9]),
+        (4, "g1", "p4", "p1", 50, 60, 0.1, 0.9, [6]), (5, "g2", "p1", None, 0, 10, 0.9, 0.9, [5]), (6, "g1", "p6", None, 70, 80, 0.5, 0.5, []),
+        (7, "g1", "p7", "p6", 90, 99, 0.5, 0.5, [4]), (8, "g1", "p8", "x", 200, 210, 0.1, 0.1, []), (9, "g1", "p8", "y", 300, 310, 0.1, 0.1, []),
+    ]
+    df = spark.createDataFrame(rows, "id long, game string, play string, canon string, s long, e long, identity double, overall double, segments array<long>")
+    df = df.withColumns({"status": F.lit("REVIEW"), "reasons": F.array(F.lit("SHORT")), "manual_review": F.lit(True)})
+    out = {r.id: (r.status, r.manual_review, r.reasons, r.segments) for r in joins.merged_duplicates(df, "game", "id", "play", "canon", ("s", "e"), 10).collect()}
+    gone = lambda segments: ("REJECTED", False, ["SHORT", "DUPLICATE_PLAY"], segments)
+    stays = lambda segments: ("REVIEW", True, ["SHORT"], segments)
+    assert out == {1: gone([7, 7]), 2: gone([8]), 3: stays([7, 9, 9, 8, 6]), 4: gone([6]), 5: stays([5]), 6: stays([4]), 7: gone([4]), 8: stays([]), 9: stays([])}

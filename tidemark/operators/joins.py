@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.minhash import connected
+from tidemark.sources.tables import cut
+
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, value: str, tolerance, direction: str = "nearest", strict: bool = False) -> DataFrame:
     """Adds ``match_at`` and ``match`` to the rows of ``left``: the right row before, or the nearest one, within ``tolerance``.
@@ -74,3 +77,32 @@ def remapped(points: DataFrame, segments: DataFrame, keys: list[str], at: str, s
     rows = found.join(first, keys, "left")
     inside = F.col("match.o") + F.least(F.col(at) - F.col("match.s"), F.col("match.n"))
     return rows.withColumn("mapped", F.coalesce(inside, F.col("_first.o"))).drop("match", "match_at", "_first")
+
+
+def merged_duplicates(df: DataFrame, game: str, row: str, play: str, canonical: str, span: tuple[str, str], width: int, share: float = 0.5) -> DataFrame:
+    """Candidates with the duplicates of a play merged: the best of each connected component stays, the others are REJECTED.
+
+    Two candidates of a game are linked if they have one canonical play, one is the canonical play of the other, or they
+    overlap by over ``share`` of the shorter. Kept is the greatest (identity, overall), of equals the least ``row``, a long
+    that names a candidate; it takes in the segments of the others that it lacks, in the order of ``row``. Besides the
+    named columns there are identity, overall, status, reasons, manual_review and segments; ``canonical`` may be null.
+    """
+    start, end = span
+    side = lambda x: df.select(game, *[F.col(c).alias(f"{c}_{x}") for c in (row, start, end)])
+    a, b = (f"{start}_a", f"{end}_a"), (f"{start}_b", f"{end}_b")
+    edge = F.col(f"{row}_a").alias("a"), F.col(f"{row}_b").alias("b")
+    overlaps = overlapping(side("a"), side("b"), [game], a, b, width).filter(f"{row}_a < {row}_b").filter(overlap_share(a, b) > share).select(*edge)
+    names = df.select(game, F.col(row).alias("a"), F.col(play).alias("_play"), F.coalesce(canonical, play).alias("_name"))
+    firsts = names.groupBy(game, "_name").agg(F.min("a").alias("b"))
+    named = names.select(game, "a", F.explode(F.array_distinct(F.array("_name", "_play"))).alias("_name")).join(firsts, [game, "_name"]).filter("a <> b").select("a", "b")
+    parts = connected(overlaps.unionByName(named)).select(F.col("node").alias(row), F.col("component").alias("_part"))
+    rows = df.join(parts, row, "left").withColumn("_part", F.coalesce("_part", row))
+    best = F.row_number().over(W.partitionBy("_part").orderBy(F.desc("identity"), F.desc("overall"), row))
+    rows = cut(rows.withColumn("_best", best == 1), "merged")
+    others = rows.filter("not _best").groupBy("_part").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct(row, "segments"))), lambda s: s["segments"])).alias("_more"))
+    rows = rows.join(others, "_part", "left")
+    more = F.concat("segments", F.array_except(F.coalesce("_more", F.slice("segments", 1, 0)), "segments"))
+    why = F.when(F.array_contains("reasons", "DUPLICATE_PLAY"), F.col("reasons")).otherwise(F.concat("reasons", F.array(F.lit("DUPLICATE_PLAY"))))
+    kept = lambda c, other: F.when(F.col("_best"), F.col(c)).otherwise(other)
+    rows = rows.withColumns({"status": kept("status", F.lit("REJECTED")), "reasons": kept("reasons", why), "manual_review": kept("manual_review", F.lit(False)), "segments": F.when(F.col("_best"), more).otherwise(F.col("segments"))})
+    return rows.drop("_part", "_best", "_more")

@@ -29,6 +29,21 @@ def overlap_self_pairs(spark, d):
     return pairs.select("k", "id_a", "id_b", share.alias("share")).filter("share > 0.5").withColumn("share", F.round("share", 6))
 
 
+@query("connected_components_dedupe", f"""
+WITH RECURSIVE {EVENTS}, p AS (
+  SELECT a.id AS a, b.id AS b FROM ev a JOIN ev b ON a.k = b.k AND a.id <> b.id AND a.s < b.e AND b.s < a.e
+  WHERE (least(a.e, b.e) - greatest(a.s, b.s)) / least(a.e - a.s, b.e - b.s) > 0.5
+), r AS (SELECT id, id AS c FROM ev UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.c), g AS (SELECT id, min(c) AS part FROM r GROUP BY id
+), o AS (SELECT ev.*, part, s // 86400000000 AS seg, row_number() OVER (PARTITION BY part ORDER BY value DESC NULLS LAST, e - s DESC, id) AS n FROM ev JOIN g USING (id)
+), f AS (SELECT part, seg, min(CASE WHEN n = 1 THEN -1 ELSE id END) AS place FROM o GROUP BY ALL), l AS (SELECT part, string_agg(CAST(seg AS VARCHAR), ',' ORDER BY place) AS segs FROM f GROUP BY part)
+SELECT k, id, CASE WHEN n = 1 THEN 'REVIEW' ELSE 'REJECTED' END AS status, CASE WHEN n = 1 THEN '' ELSE 'DUPLICATE_PLAY' END AS reasons, CASE WHEN n = 1 THEN segs ELSE CAST(seg AS VARCHAR) END AS segments FROM o JOIN l USING (part)""")
+def connected_components_dedupe(spark, d):
+    """Events of a user that overlap by over half, also by way of others, count as one play; a segment is the day of the start."""
+    ev = events(spark, d).withColumns({"identity": F.col("value"), "overall": F.col("e") - F.col("s"), "segments": F.array(F.expr("s div 86400000000")), "status": F.lit("REVIEW"), "reasons": F.array().cast("array<string>"), "manual_review": F.lit(True)})
+    rows = j.merged_duplicates(ev, "k", "id", "id", "id", ("s", "e"), 6 * HOUR)
+    return rows.select("k", "id", "status", F.array_join("reasons", ",").alias("reasons"), F.array_join("segments", ",").alias("segments"))
+
+
 @query("overlap_anti_ledger", f"""
 WITH {EVENTS}
 SELECT k, id FROM ev a WHERE id % 7 <> 0 AND NOT EXISTS (

@@ -211,3 +211,19 @@ def test_chained_duplicates_are_merged(spark):
     gone = lambda segments: ("REJECTED", False, ["SHORT", "DUPLICATE_PLAY"], segments)
     stays = lambda segments: ("REVIEW", True, ["SHORT"], segments)
     assert out == {1: gone([7, 7]), 2: gone([8]), 3: stays([7, 9, 9, 8, 6]), 4: gone([6]), 5: stays([5]), 6: stays([4]), 7: gone([4]), 8: stays([]), 9: stays([])}
+
+
+def test_votes_of_all_by_all_do_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 5)).round(3)
+    rows = [(i, v.tolist(), "abc"[i % 3]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, l string")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = {r.id: r for r in vectors.all_neighbour_votes(df, "id", "v", "l", block=16).collect()}
+    assert sorted(out) == list(range(60))
+    for q in range(60):
+        s = unit @ unit[q]
+        order = [i for i in np.argsort(-s) if i != q]
+        means = sorted(((float(np.mean([s[i] for i in order if i % 3 == k][:3])), "abc"[k]) for k in range(3)), reverse=True)
+        assert out[q].l == means[0][1] and abs(out[q]["mean"] - means[0][0]) < 1e-6 and abs(out[q].margin - (means[0][0] - means[1][0])) < 1e-6
+        assert out[q].agreement == sum("abc"[i % 3] == out[q].l for i in order[:7]) / 7

@@ -18,6 +18,8 @@ from tidemark.llm.common import table
 WINDOW = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = (1).to_bytes(4, "little")
+#: Characters of the documents that are tokenised together.
+CHARACTERS = 1 << 20
 
 #: Texts of these characters only need no normalisation but lower-casing, and split as _WORDS does.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff‐-…]*")
@@ -27,35 +29,69 @@ _WORDS = re.compile(
 _SPECIAL = "<|"
 
 
+class Generations(dict):
+    """Values by key in two generations; what the elder holds joins the younger when it is asked for again.
+
+    A generation that reaches ``most`` keys becomes the elder one, whose keys not asked for since are forgotten. So
+    there are never more than 2 * ``most`` keys, and frequent ones stay.
+    """
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.elder = most, {}
+
+    def __missing__(self, key):
+        self[key] = value = self.elder[key]
+        return value
+
+    def unknown(self, keys: set) -> list:
+        return [k for k in keys.difference(self) if k not in self.elder]
+
+    def age(self) -> None:
+        if len(self) > self.most:
+            self.elder = dict(self)
+            self.clear()
+
+
 class WordTokenizer:
-    """The library's ids as little-endian 32-bit bytes, words that were seen before from a bounded cache."""
+    """The library's ids as little-endian 32-bit bytes, words that were seen before from a bounded cache.
+
+    The words that some documents bring anew go to the library as one text, with spaces between: each word's last id is one
+    of a word end. Where the ends don't tell the words apart, they go one by one.
+    """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.library, self.most, self.cache = Tokenizer.from_file(path), most, {}
+        self.library, self.cache = Tokenizer.from_file(path), Generations(most)
         self.library.encode_special_tokens = True
+        ids = self.library.get_vocab()
+        self.ends = np.zeros(max(ids.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in ids.items() if token.endswith("</w>")]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(found.ids, dtype="<u4") for found in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.cache) + len(words) > self.most:
-            self.cache.clear()
-        for word, found in zip(words, self.library.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.cache[word] = np.array(found.ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if _SPECIAL in text or not _PLAIN.fullmatch(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        words = _WORDS.findall(text.lower())
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            distinct = set(words)
-            new = [w for w in distinct if w not in self.cache]
-            self._learn(new)
-            if len(self.cache) < len(distinct):  # the cache was emptied for the new ones
-                self._learn([w for w in distinct if w not in self.cache])
-            return b"".join(self.cache[w] if w in self.cache else np.array(self.library.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in words)
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
+            ids = self._ids([" ".join(part)])[0]
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part) and (not len(ids) or stops[-1] == len(ids)):
+                raw, stops = ids.tobytes(), (4 * stops).tolist()
+                self.cache.update(zip(part, (raw[a:z] for a, z in zip([0, *stops], stops, strict=False)), strict=True))
+            else:
+                self.cache.update(zip(part, (x.tobytes() for x in self._ids(part)), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        self.cache.age()
+        plain = [_SPECIAL not in text and _PLAIN.fullmatch(text) is not None for text in texts]
+        words = [_WORDS.findall(text.lower()) if own else () for text, own in zip(texts, plain, strict=True)]
+        self._learn(self.cache.unknown(set().union(*words)))
+        rest = iter(self._ids([text for text, own in zip(texts, plain, strict=True) if not own]))
+        look_up = self.cache.__getitem__
+        return [b"".join(map(look_up, w)) if own else next(rest).tobytes() for w, own in zip(words, plain, strict=True)]
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -171,6 +207,20 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in SCHEMA.split(", ")])
 
 
+def encoded(batches: Iterator[pa.RecordBatch], encode) -> Iterator[tuple]:
+    """Documents with their ids and the closing one; some documents are tokenised together, CHARACTERS of them or one more."""
+    for batch in batches:
+        docs, texts, size = [], [], 0
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            docs.append(doc)
+            texts.append(text or "")
+            size += len(texts[-1])
+            if size > CHARACTERS:
+                yield from ((d, ids + END) for d, ids in zip(docs, encode(texts), strict=True))
+                docs, texts, size = [], [], 0
+        yield from ((d, ids + END) for d, ids in zip(docs, encode(texts), strict=True))
+
+
 def pack_partition(batches: Iterator[pa.RecordBatch], encode, first: int, size: int = WINDOW) -> Iterator[pa.RecordBatch]:
     packer, sequence = SumOfSquares(size), first
     out: list[list] = [[] for _ in _ARROW]
@@ -186,13 +236,11 @@ def pack_partition(batches: Iterator[pa.RecordBatch], encode, first: int, size:
                 offset += n
             sequence += 1
 
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            ids = encode(text or "") + END
-            give(packer.place(doc, 0, ids, len(ids) // 4))
-            if len(out[0]) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_ARROW)
-                out = [[] for _ in _ARROW]
+    for doc, ids in encoded(batches, encode):
+        give(packer.place(doc, 0, ids, len(ids) // 4))
+        if len(out[0]) > 20_000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_ARROW)
+            out = [[] for _ in _ARROW]
     give(packer.flush())
     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_ARROW)
 

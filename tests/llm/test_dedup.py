@@ -48,6 +48,31 @@ def test_near_duplicates_of_repeated_and_null_rows(spark):
     assert sorted(r.component_id for r in rows) == [3, 3, 3, 3, 5]
 
 
+def test_near_duplicates_of_a_large_group(spark):
+    """Copies of copies: most aren't similar to one another, and stand in several components; ids are missing, too."""
+    rng, texts = np.random.default_rng(11), []
+    for g in range(4):
+        base = [f"w{g}x{k}" for k in range(60)]
+        for k in range(500):
+            own = list(base if rng.random() < 0.5 or not k else rng.choice([t.split() for i, t in texts[-20:] if t.startswith(f"w{g}")]))
+            for _ in range(int(rng.integers(0, 6))):
+                own[int(rng.integers(1, 60))] = f"r{rng.integers(1 << 30)}"
+            texts.append((500 * g + k, " ".join(own)))
+    rows = minhash.near_duplicates(fixtures.documents(spark, texts), 4).collect()
+    expected = components(texts, 4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == expected
+    assert len({c for _, c in expected.values()}) > 8
+
+
+def test_near_duplicates_link_through_rows_without_id(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, b, c = words, [*words[:-3], "x", "y", "z"], [*words[3:-3], "x", "y", "z"]
+    texts = [(None, " ".join(b)), (7, " ".join(a)), (8, " ".join(c))]
+    assert components([(k, t) for k, (_, t) in enumerate(texts)], 4)[2][1] == 0
+    rows = minhash.near_duplicates(fixtures.documents(spark, texts), 4).collect()
+    assert [r.component_id for r in rows] == [7, 7, 7]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(fixtures.documents(spark, [])).count() == 0
 

@@ -14,6 +14,11 @@ from tidemark.llm.common import LOWER, SPACED, cut, mix, prefix_hash, span_hash,
 
 #: Registers of a signature; bands of ROWS registers each. A pair at 0.8 meets in no band with probability 5e-8.
 REGISTERS, ROWS = 128, 4
+#: Longs of parities of a set. More of them rule out more pairs before their sets are compared; none loses a pair.
+PARITIES = 16
+#: Rounds in which buckets of several components get a further pivot. More of them leave less to the join that follows; any number
+#: gives the same links.
+ROUNDS = 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -97,10 +102,17 @@ def bands(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-def _node(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A 64-bit name for every set, the same for equal sets."""
-    digests = [hashlib.blake2b(sets[a:z].tobytes(), digest_size=8).digest() for a, z in zip(offsets[:-1], offsets[1:], strict=True)]
-    return np.frombuffer(b"".join(digests), dtype=np.int64)
+def _digests(sets: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """128 bits that name a set, the same for equal sets."""
+    return pa.array([hashlib.blake2b(sets[a:z].tobytes(), digest_size=16).digest() for a, z in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+
+
+def parities(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bits that each element of a set flips one of, a row of PARITIES longs per set: sets differ in as many elements at least as in bits."""
+    n = len(offsets) - 1
+    at = np.repeat(np.arange(n), np.diff(offsets)) * (64 * PARITIES) + ((sets >> np.uint64(33)) % np.uint64(64 * PARITIES)).astype(np.int64)
+    flipped = np.bincount(at, minlength=n * 64 * PARITIES) & 1
+    return np.packbits(flipped.astype(np.uint8).reshape(n, -1), axis=1).view(np.int64)
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -111,39 +123,33 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
     for part, data, ends in text_batches(batches):
         sets, offsets = shingle_sets(data, ends, words)
         keys = bands(superminhash(sets, offsets))
+        bits = parities(sets, offsets)
         yield pa.RecordBatch.from_pydict({
-            "doc_id": part.column(0), "n": pa.array(np.diff(offsets)), "node": pa.array(_node(sets, offsets)),
+            "doc_id": part.column(0), "n": pa.array(np.diff(offsets)), "digest": _digests(sets, offsets),
             "keys": _lists(keys.reshape(-1), np.arange(len(keys) + 1) * keys.shape[1]),
+            **{f"p{k}": pa.array(np.ascontiguousarray(bits[:, k])) for k in range(PARITIES)},
         })
 
 
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     for _, data, ends in text_batches(batches):
         sets, offsets = shingle_sets(data, ends, words)
-        yield pa.RecordBatch.from_pydict({"node": pa.array(_node(sets, offsets)), "hashes": _lists(sets, offsets)})
+        yield pa.RecordBatch.from_pydict({"digest": _digests(sets, offsets), "hashes": _lists(sets, offsets)})
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """Of each set the rarest shingles, so many that a set similar enough has one of them among its own, with their places.
-
-    Beside them the set's parities: bits that each shingle flips one of. Sets differ in as many shingles at least as parities.
-    """
+    """Of each set the rarest shingles, so many that a set similar enough has one of them among its own, with their places."""
     for batch in batches:
-        out, parities = [], []
-        for node, component, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        out = []
+        for row, hashes in enumerate(batch.column("hashes")):
             own = hashes.values.to_numpy().view(np.uint64)
             n = len(own)
             order = np.lexsort((own, counts[own & np.uint64(len(counts) - 1)]))[: n - -(-percent * n // 100) + 1]
-            out.append((own[order], np.full(len(order), node), np.full(len(order), component), np.arange(len(order)), np.full(len(order), n)))
-            flipped = np.bincount((own >> np.uint64(33)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES) & 1
-            parities.append(np.broadcast_to(np.packbits(flipped.astype(np.uint8)).view(np.int64), (len(order), PARITIES)))
+            out.append((own[order], np.full(len(order), row), np.arange(len(order))))
         if out:
-            hashes, node, component, place, n = (np.concatenate(c) for c in zip(*out, strict=True))
-            bits = np.concatenate(parities)
-            yield pa.RecordBatch.from_pydict({
-                "hash": pa.array(hashes.view(np.int64)), "node": pa.array(node), "component": pa.array(component), "place": pa.array(place), "n": pa.array(n),
-                **{f"p{k}": pa.array(np.ascontiguousarray(bits[:, k])) for k in range(PARITIES)},
-            })
+            hashes, row, place = (np.concatenate(c) for c in zip(*out, strict=True))
+            kept = {c: batch.column(c).take(pa.array(row)) for c in batch.schema.names if c != "hashes"}
+            yield pa.RecordBatch.from_pydict({"hash": pa.array(hashes.view(np.int64)), "place": pa.array(place), **kept})
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -173,12 +179,26 @@ def connected(edges: DataFrame) -> DataFrame:
 
 #: Counters of shingle frequencies that order prefixes; any number gives the same links.
 COUNTERS = 1 << 20
-#: Longs of parities of a set. More of them rule out more pairs before their sets are compared; none loses a pair.
-PARITIES = 16
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose full sets are similar enough."""
+_BITS = [f"p{k}" for k in range(PARITIES)]
+
+
+def _may_link(a: str, b: str, percent: int) -> str:
+    """What sizes and parities say of two sets; no similar pair fails."""
+    differ = " + ".join(f"bit_count({a}.{p} ^ {b}.{p})" for p in _BITS)
+    return f"100 * least({a}.n, {b}.n) >= {percent} * greatest({a}.n, {b}.n) and {100 + percent} * ({differ}) <= {100 - percent} * ({a}.n + {b}.n)"
+
+
+def _pairs(met: DataFrame, a: str, b: str) -> DataFrame:
+    return met.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
+
+
+def _similar(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose full sets are similar enough; what sizes and parities rule out isn't compared."""
+    for x in "ab":
+        pairs = pairs.join(members.select(F.col("node").alias(x), F.struct("n", *_BITS).alias(f"own_{x}")), x)
+    pairs = pairs.filter(_may_link("own_a", "own_b", percent)).select("a", "b")
     left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
     joined = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ha", "hb")).cast("long"))
     return joined.filter(f"100 * common >= {percent} * (size(ha) + size(hb) - common)").select("a", "b")
@@ -187,66 +207,94 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents that are linked by 100 * |A and B| >= percent * |A or B| over their shingle sets.
 
-    Per document: doc_id, n_shingles, component_id (the least doc_id reachable), kept. Texts with equal sets form a
-    class, one node of the graph, so that copies cost no pairs. The members of a band's bucket are compared with
-    the bucket's pivot, and links make components. Where a bucket then still holds several components, its members
-    are joined on their rarest shingles (prefix and position filters, which lose no pair), and what is in
-    different components is compared. Documents without words link with nothing. Null text is empty; rows that repeat
-    share a class; a component without any doc_id has a null component_id; other columns are ignored; an empty
-    table gives no rows.
+    Per document: doc_id, n_shingles, component_id (the least doc_id reachable), kept. Texts whose sets have one 128-bit digest
+    form a class, one node of the graph, so that copies cost no pairs. The members of a band's bucket are compared with
+    a pivot of the bucket, and links make components. Buckets that still hold several are compared with another pivot, of
+    their largest component, members of that one left out: a group grows together in a few rounds, at a row per member,
+    bucket and round. What then still stands apart in a bucket is joined on rarest shingles (prefix, position and parity
+    filters, which lose no pair) with all others; members of the largest component of a shingle aren't compared with each
+    other. Documents without words link with nothing. Null text is empty; rows without doc_id link as others do; rows that
+    repeat share a class; a component without any doc_id has a null component_id; other columns are ignored; an
+    empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(texts.mapInArrow(lambda b: _signed(b, words), "doc_id long, n long, node long, keys array<long>"), "signatures")
-    classes = signed.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = cut(classes, "classes")
+    bits = "".join(f", {p} long" for p in _BITS)
+    signed = cut(texts.mapInArrow(lambda b: _signed(b, words), "doc_id long, n long, digest binary, keys array<long>" + bits), "signatures")
+    classes = signed.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "keys", *_BITS)))
+    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     in_bands = classes.select(F.explode("keys").alias("key"), "node", "n", "doc_id")
     shared = in_bands.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
     buckets = cut(in_bands.join(shared, "key"), "buckets")
 
-    members = buckets.select("node", "doc_id").distinct()
-    sets = texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(lambda b: _sets(b, words), "node long, hashes array<long>")
-    if signed.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+    members = cut(buckets.select("node").distinct().join(classes.drop("keys"), "node"), "members")
+    ids = members.select(F.col("doc_id").alias("_id")).distinct()
+    sets = texts.join(ids, texts.doc_id.eqNullSafe(ids._id), "left_semi").mapInArrow(lambda b: _sets(b, words), "digest binary, hashes array<long>")
+    sets = sets.join(members.select("digest", "node"), "digest").select("node", "hashes")
+    if signed.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
         sets = sets.groupBy("node").agg(F.first("hashes").alias("hashes"))
     sets = cut(sets, "sets")
 
-    # Pivots: the member of the smallest class id, mostly the same one in all bands of a group.
+    # Pivots: the member of the smallest id, mostly the same one in all bands of a group.
     pivot = buckets.groupBy("key").agg(F.min(F.struct("doc_id", "node", "n")).alias("p"))
-    sizes_fit = f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)"
-    met = buckets.join(pivot, "key").filter("node <> p.node").filter(sizes_fit)
-    pairs = met.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")).distinct()
-    links = cut(_similar(pairs, sets, percent), "links")
-    component = connected(links)
-
-    labelled = buckets.select("key", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    left = labelled.join(mixed, "key", "left_semi").groupBy("node").agg(F.first("component").alias("component"))
-    left = cut(left.join(sets, "node").select("node", "component", "hashes"), "open")
+    met = buckets.join(pivot, "key").filter("node <> p.node").filter(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
+    links = cut(_similar(_pairs(met, "node", "p.node"), members, sets, percent), "links")
+    component = cut(connected(links), "components")
+    labelled = buckets.select("key", "node").join(component, "node", "left").withColumn("first", F.coalesce("component", "node")).drop("component")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """Of the buckets that hold several components all members, with those of the largest one marked."""
+        parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+        parts = parts.groupBy("key").agg(F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        return rows.join(parts.select("key", F.col("top.component").alias("largest")), "key")
+
+    def joined(rows: DataFrame, merges: DataFrame | None) -> DataFrame:
+        if merges is None:
+            return rows.withColumn("component", F.col("first"))
+        merges = merges.select(F.col("node").alias("first"), "component")
+        return rows.join(merges, "first", "left").withColumn("component", F.coalesce("component", "first"))
+
+    open_, bridges, merges = cut(mixed(joined(labelled, None)), "open"), None, None
+    for _ in range(ROUNDS):
+        of_largest = open_.filter("component = largest").groupBy("key").agg(F.min_by("node", F.xxhash64("key", "node")).alias("pivot"))
+        met = open_.filter("component <> largest").join(of_largest, "key")
+        found = _similar(_pairs(met, "node", "pivot"), members, sets, percent)
+        names = open_.select("node", "first").distinct()
+        found = found.join(names.select(F.col("node").alias("a"), F.col("first").alias("x")), "a").join(names.select(F.col("node").alias("b"), F.col("first").alias("y")), "b")
+        found = cut(found.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "bridges")
+        if found.isEmpty():
+            break
+        bridges = found if bridges is None else bridges.unionByName(found)
+        merges = cut(connected(bridges), "merges")
+        open_ = cut(mixed(joined(open_.select("key", "node", "first"), merges)), "open")
+
+    left = open_.groupBy("node").agg(*(F.first(c).alias(c) for c in ("component", "first")))
+    left = cut(left.join(members.drop("digest", "doc_id"), "node").join(sets, "node"), "apart")
     frequent = left.select(F.explode("hashes").alias("h")).groupBy(F.col("h").bitwiseAND(COUNTERS - 1).alias("at")).count().toArrow()  # COUNTERS rows at most
-    counts = np.zeros(COUNTERS, dtype=np.int64)
-    counts[frequent.column("at").to_numpy()] = frequent.column("count").to_numpy()
-    prefixes = left.mapInArrow(lambda b: _prefixes(b, counts, percent), "hash long, node long, component long, place long, n long" + "".join(f", p{k} long" for k in range(PARITIES)))
-    prefixes = cut(prefixes, "prefixes")
-    several = prefixes.groupBy("hash").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("hash")
-    prefixes = prefixes.join(several, "hash", "left_semi")
-    x, y = (prefixes.select("hash", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "component", "place", "n", *(f"p{k}" for k in range(PARITIES))))) for side in "xy")
-    differ = " + ".join(f"bit_count(p{k}_x ^ p{k}_y)" for k in range(PARITIES))
-    near = (
-        "node_x > node_y and component_x <> component_y"
-        f" and 100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
-        f" and {100 + percent} * (least(n_x - place_x, n_y - place_y)) >= {percent} * (n_x + n_y)"
-        f" and {100 + percent} * ({differ}) <= {100 - percent} * (n_x + n_y)"
-    )
-    pairs = x.join(y, "hash").filter(near).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    more = cut(_similar(pairs, sets, percent), "more-links")
-    if more.limit(1).count():
-        component = connected(links.unionByName(more))
-
-    rows = signed.filter("n > 0").select("doc_id", "n", "node").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rows = cut(rows, "rows")
+    counts = np.zeros(COUNTERS, dtype=np.int32)
+    counts[frequent.column("at").to_numpy()] = np.minimum(frequent.column("count").to_numpy(), np.iinfo(np.int32).max)
+    counts = docs.sparkSession.sparkContext.broadcast(counts)
+    prefixes = cut(left.mapInArrow(lambda b: _prefixes(b, counts.value, percent), "hash long, place long, node long, component long, first long, n long" + bits), "prefixes")
+    prefixes = prefixes.select(F.col("hash").alias("key"), "component", F.struct("node", "component", "first", "n", "place", *_BITS).alias("x"))
+    prefixes = mixed(prefixes).withColumn("large", F.col("component") == F.col("largest"))
+    x, y = prefixes.filter("not large").select("key", "x"), prefixes.select("key", F.col("x").alias("y"), "large")
+    places = f"{100 + percent} * least(x.n - x.place, y.n - y.place) >= {percent} * (x.n + y.n)"
+    met = x.join(y, "key").filter("x.component <> y.component and (large or x.node > y.node)").filter(_may_link("x", "y", percent)).filter(places)
+    met = cut(met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b"), F.least("x.first", "y.first").alias("u"), F.greatest("x.first", "y.first").alias("v")).distinct(), "candidates")
+    more = met.join(_similar(met.select("a", "b"), members, sets, percent), ["a", "b"])
+    more = cut(more.select(F.col("v").alias("a"), F.col("u").alias("b")).distinct(), "more-bridges")
+    if not more.isEmpty():
+        merges = cut(connected(more if bridges is None else bridges.unionByName(more)), "merges")
+    if merges is not None:
+        component = joined(component.withColumnRenamed("component", "first"), merges)
+        alone = merges.join(component, "node", "left_anti").select("node", "component")
+        component = component.select("node", "component").unionByName(alone)
+
+    named = cut(classes.select("digest", "node").join(component, "node", "left").select("digest", F.coalesce("component", "node").alias("component")), "names")
+    rows = cut(signed.filter("n > 0").select("doc_id", "n", "digest").join(named, "digest"), "rows")
     least = cut(rows.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")  # apart from the join, which can then split large groups
-    named = rows.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    rows = rows.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = signed.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return named.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -66,10 +66,10 @@ def test_greedy_windows():
     assert greedy.suppressed(np.array([[0, 0, 10, 10], [1, 1, 11, 11], [50, 50, 60, 60]], float), np.array([0.5, 0.9, 0.1]), 0.5) == [1, 2]
 
 
-def test_diversified_and_interleaved():
-    source = ["a", "a", "a", "b"]
-    chosen = greedy.diversified(source, [0, 50, 500, 0], [40, 90, 540, 40], [3.0, 2.9, 2.5, 1.0], 4, 2, 120)
-    assert chosen == [0, 2, 3] and greedy.round_robin(source, chosen) == [0, 3, 2]
+def test_diversified_and_interleaved(spark):
+    rows = [("g", "a", 0, 0, 40, 3000), ("g", "a", 1, 50, 90, 2900), ("g", "a", 2, 500, 540, 2500), ("g", "b", 3, 0, 40, 1000), ("h", "a", 4, 0, 9, 1), ("h", "a", 5, 8, 12, 7)]
+    picks = topk.diversified(spark.createDataFrame(rows, "w string, k string, id int, s int, e int, x int"), "w", "k", 4, 120, 800).collect()
+    assert {(r.w, r.place): r.id for r in picks} == {("g", 0): 0, ("g", 1): 3, ("g", 2): 2, ("h", 0): 5}
 
 
 def test_order_by_penalty():

@@ -6,8 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that weaken or strengthen an opening.
-WEAK_OPENERS = ("and", "but", "so", "or", "because", "well", "um", "uh", "like")
-HOOK_WORDS = ("never", "always", "secret", "mistake", "truth", "wrong", "best", "worst", "why", "how", "stop")
+WEAK_OPENERS = ("and", "so", "but", "because", "which", "or", "um", "uh", "that", "then", "also")
+HOOK_WORDS = (
+    "you", "your", "never", "always", "why", "how", "what", "secret", "mistake", "first", "biggest", "only", "surprising", "incredible", "amazing", "most", "best", "worst",
+    "imagine", "actually", "really", "universe", "discover", "discovered",
+)
 
 
 def slug(x: Column) -> Column:
@@ -40,9 +43,9 @@ def cut_at_word(x: Column, most: int) -> Column:
 
 
 def masked(x: Column, words: list[str]) -> Column:
-    """The inner letters of the words become asterisks, whatever their case."""
+    """The inner letters of the words become asterisks, whatever their case; words end where no letter, digit or _ of ASCII follows."""
     for w in words:
-        x = F.regexp_replace(x, rf"(?i)\b({w[0]}){w[1:-1]}({w[-1]})\b", f"$1{'*' * (len(w) - 2)}$2")
+        x = F.regexp_replace(x, rf"(?i)(?<![A-Za-z0-9_])({w[0]}){w[1:-1]}({w[-1]})(?![A-Za-z0-9_])", f"$1{'*' * (len(w) - 2)}$2")
     return x
 
 

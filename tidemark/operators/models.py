@@ -35,12 +35,18 @@ def two_means(df: DataFrame, features: list[str], weight: str, rounds: int = 10)
     return df.withColumn("cluster", side()), centres
 
 
+#: Classes of a model at most.
+CLASSES = 1000
+
+
 def fit_softmax(df: DataFrame, features: list[str], label: str, steps: int = 60, rate: float = 0.5) -> dict:
     """A softmax regression on standardised features by gradient descent; each step is one aggregate over the rows.
 
-    It needs at least two rows of two classes, else there is no model.
+    It needs at least two rows of two classes, else there is no model; of over CLASSES classes it makes none either, but fails.
     """
-    classes = sorted(r[0] for r in df.select(label).distinct().limit(1000).collect() if r[0] is not None)
+    classes = sorted(r[0] for r in df.select(label).distinct().limit(CLASSES + 2).collect() if r[0] is not None)
+    if len(classes) > CLASSES:
+        raise ValueError(f"{label} has more than {CLASSES} classes")
     stats = df.agg(F.count(F.lit(1)), *(F.avg(f) for f in features), *(F.stddev_pop(f) for f in features)).first()
     n, k = stats[0], len(features)
     if n < 2 or len(classes) < 2:

@@ -44,6 +44,23 @@ def interleaved(df: DataFrame, source: str, order: str) -> DataFrame:
     return placed(rows, [F.col("_r"), F.col("_f")]).drop("_r", "_f")
 
 
+def diversified(df: DataFrame, group: str, source: str, n: int, apart: int, penalty: int) -> DataFrame:
+    """The ``n`` best rows of each group, at most two of a source that don't overlap, then sources in turn with their ``place``.
+
+    Rows have id, s, e and x. A second row of a source counts ``penalty`` less if it starts within ``apart`` of the
+    first. What a source offers doesn't depend on the others, so its two rows come from two partial aggregations, and greedy
+    picking is a top ``n`` of offers (ties: the smaller source, start and id).
+    """
+    offer = lambda worth: F.min(F.struct((-worth).alias("worth"), "s", "id", "e"))
+    one = df.groupBy(group, source).agg(offer(F.col("x")).alias("p"))
+    apart_ = df.join(one, [group, source]).filter("not (s < p.e and p.s < e) and id <> p.id")
+    two = apart_.groupBy(group, source).agg(offer(F.col("x") - F.when(F.abs(F.col("s") - F.col("p.s")) < apart, penalty).otherwise(0)).alias("p"))
+    offers = one.withColumn("turn", F.lit(0)).unionByName(two.withColumn("turn", F.lit(1))).select(group, source, "turn", "p.*")
+    best = top(offers, [group], [F.col("worth"), F.col(source), F.col("s"), F.col("id")], n)
+    best = best.withColumn("first", F.min("rank").over(W.partitionBy(group, source)))
+    return best.select(group, source, "id", (F.row_number().over(W.partitionBy(group).orderBy("turn", "first")) - 1).alias("place"))
+
+
 def evenly(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """Of each key the rows at ``n`` even steps from first to last."""
     w = W.partitionBy(*keys)

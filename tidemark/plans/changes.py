@@ -49,12 +49,12 @@ def account_balance(spark, d):
 
 
 @query("status_upsert", """
-SELECT o_orderkey, 'new' AS status, o_totalprice FROM orders WHERE o_orderkey % 4 = 0
-UNION ALL SELECT o_orderkey, o_orderstatus, NULL FROM orders WHERE o_orderkey % 6 = 0 AND o_orderkey % 4 <> 0""")
+SELECT o_orderkey, 'new' AS status, o_totalprice FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT o_orderkey, o_orderstatus, NULL FROM orders WHERE o_orderstatus <> 'O'""")
 def status_upsert(spark, d):
     orders = table(spark, d, "orders")
-    old = orders.filter("o_orderkey % 6 = 0").select("o_orderkey", F.col("o_orderstatus").alias("status"))
-    new = orders.filter("o_orderkey % 4 = 0").select("o_orderkey", F.lit("new").alias("status"), "o_totalprice")
+    old = orders.select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    new = orders.filter("o_orderstatus = 'O'").select("o_orderkey", F.lit("new").alias("status"), "o_totalprice")
     return c.upserted(old, new, ["o_orderkey"])
 
 

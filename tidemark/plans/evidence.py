@@ -204,7 +204,7 @@ def session_totals(spark, d):
 
 
 @query("percentile_range_default", """
-SELECT user_id, CASE WHEN count(*) < 3 THEN 180.0 ELSE greatest(5.0, round(quantile_cont(value, 0.95) - quantile_cont(value, 0.05), 6)) END AS width FROM events WHERE event_type = 'signup' GROUP BY user_id""")
+SELECT user_id, CASE WHEN count(*) < 3 THEN 180.0 ELSE greatest(5.0, round(quantile_cont(value, 0.95) - quantile_cont(value, 0.05), 6)) END AS width FROM events GROUP BY user_id""")
 def percentile_range_default(spark, d):
     width = F.round(F.percentile("value", 0.95) - F.percentile("value", 0.05), 6)
-    return table(spark, d, "events").filter("event_type = 'signup'").groupBy("user_id").agg(F.when(F.count(F.lit(1)) < 3, 180.0).otherwise(F.greatest(F.lit(5.0), width)).alias("width"))
+    return table(spark, d, "events").groupBy("user_id").agg(F.when(F.count(F.lit(1)) < 3, 180.0).otherwise(F.greatest(F.lit(5.0), width)).alias("width"))

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.operators import greedy as g
-from tidemark.operators import signals
+from tidemark.operators import signals, timelines
+from tidemark.operators.topk import diversified
 from tidemark.plans import EVENTS, events
 from tidemark.registry import query
 from tidemark.sources.tables import table
@@ -133,7 +134,7 @@ def rep_segments(spark, d):
 def play_segments(spark, d):
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         x = rows.x.to_numpy(dtype=float)
-        found = g.bursts(rows.s, x, 4, 2, 1.5, 0.2 * float(np.median(x)), 0.5)
+        found = g.bursts(x, 4, 2, 1.5, 0.2 * float(np.median(x)), 0.5)
         return pd.DataFrame({"k": [rows.k.iloc[0]] * len(found), "begin": [a for a, _ in found], "end": [z for _, z in found]})
 
     return g.per_key(_milli(spark, d).select("k", "id", "s", "x"), ["k"], ["s", "id"], kernel, "k long, begin int, end int")
@@ -164,17 +165,17 @@ def caption_pages(spark, d):
     return g.per_key(events(spark, d).select("k", "id", "s", "e", "w"), ["k"], ["s", "id"], kernel, "k long, id long, page int")
 
 
-@query("diversified_select")
+@query("diversified_select", f"""
+WITH {_MILLI}, one AS (SELECT w, k, arg_min({{'id': id, 's': s, 'e': e, 'x': x}}, {{'x': -x, 's': s, 'id': id}}) AS p FROM ev GROUP BY w, k
+), rest AS (SELECT ev.w, ev.k, ev.id, ev.s, ev.x - CASE WHEN abs(ev.s - p.s) < 48 * {HOUR} THEN 800 ELSE 0 END AS worth FROM ev JOIN one USING (w, k) WHERE NOT (ev.s < p.e AND p.s < ev.e) AND ev.id <> p.id
+), two AS (SELECT w, k, arg_min({{'id': id, 's': s, 'x': worth}}, {{'x': -worth, 's': s, 'id': id}}) AS p FROM rest GROUP BY w, k
+), picks AS (SELECT w, k, 0 AS turn, p.id AS id, p.x AS worth, p.s AS s FROM one UNION ALL SELECT w, k, 1, p.id, p.x, p.s FROM two
+), best AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY worth DESC, k, s, id) AS r FROM picks QUALIFY r <= 10
+), firsts AS (SELECT *, min(r) OVER (PARTITION BY w, k) AS f FROM best)
+SELECT w, k, id, row_number() OVER (PARTITION BY w ORDER BY turn, f) - 1 AS place FROM firsts""")
 def diversified_select(spark, d):
     """Ten picks for every event type, at most two a user, then users in turn."""
-
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        k, s, e, x = rows.k.tolist(), rows.s.tolist(), rows.e.tolist(), (rows.x / 1000).tolist()
-        chosen = g.round_robin(k, g.diversified(k, s, e, x, 10, 2, 48 * HOUR))
-        return rows.iloc[chosen][["w", "k", "id"]].assign(place=range(len(chosen)))
-
-    pool = _milli(spark, d).select("w", "k", "id", "s", "e", "x").filter("x > 30000")
-    return g.per_key(pool, ["w"], ["k", "s", "id"], kernel, "w string, k long, id long, place int")
+    return diversified(_milli(spark, d).select("w", "k", "id", "s", "e", "x"), "w", "k", 10, 48 * HOUR, 800)
 
 
 @query("penalty_order")
@@ -297,16 +298,26 @@ def neutral_zone(spark, d):
     return g.per_key(table(spark, d, "lineitem").select("l_orderkey", "l_quantity"), ["l_orderkey"], ["l_quantity"], kernel, "l_orderkey long, line double, score double")
 
 
-@query("edit_timelines")
+@query("edit_timelines", """
+WITH m AS (SELECT o_custkey, o_orderkey, o_totalprice - 60 * floor(o_totalprice / 60) AS impact, o_orderkey % 3 > 0 AS snapped, o_orderkey % 2 = 1 AS angled FROM orders
+), b AS (SELECT *, greatest(0, impact - 8, CASE WHEN snapped THEN least(impact - 3, impact - 2.5) ELSE impact - 3 END) AS a, greatest(least(70 - 1 / 30.0, impact + 1.5), least(70, impact + 0.5)) AS z FROM m
+), r AS (SELECT *, greatest(a, impact - 2.5) AS ra, (least(z, impact + 1) - greatest(a, impact - 2.5)) / 0.55 AS replay FROM b
+), x AS (SELECT *, 0.8 + (z - a) + replay AS s0 FROM r
+), y AS (SELECT *, CASE WHEN angled AND 12.5 - s0 > 0.5 AND least(4, 57 - s0) >= 1 THEN least(4, 57 - s0) END AS angle FROM x
+), v AS (SELECT *, s0 + coalesce(angle, 0) AS s1 FROM y
+), t AS (SELECT *, CASE WHEN 12.5 - s1 > 1.5 THEN (least(z, impact + 0.7) - greatest(a, impact - 1.5)) / 0.4125 END AS second FROM v
+), u AS (SELECT *, s1 + coalesce(second, 0) AS s2 FROM t
+), segments AS (
+  SELECT o_custkey, o_orderkey, unnest([{'n': 0, 'kind': 'ident', 'sec': 0.8::DOUBLE}, {'n': 1, 'kind': 'live', 'sec': z - a}, {'n': 2, 'kind': 'replay', 'sec': replay}, {'n': 3, 'kind': 'angle', 'sec': angle},
+    {'n': 4, 'kind': 'replay2', 'sec': second}, {'n': 5, 'kind': 'endcard', 'sec': greatest(1.5, least(2.5 + greatest(0, 12.5 - s2), 60 - s2))}]) AS g FROM u
+), f AS (SELECT o_custkey, o_orderkey, g.n AS n, g.kind AS kind, greatest(1, CAST(round(g.sec * 30) AS INT)) AS frames FROM segments WHERE g.sec IS NOT NULL
+), c AS (SELECT *, sum(frames) OVER (PARTITION BY o_orderkey ORDER BY n) AS upto FROM f)
+SELECT o_custkey, o_orderkey, kind, round((upto - frames) / 30.0, 4) AS start, round(upto / 30.0, 4) AS "end" FROM c""")
 def edit_timelines(spark, d):
     """Timelines of a customer's orders, each a moment at its price's remainder by 60."""
-
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in rows.itertuples():
-            impact = float(r.o_totalprice % 60)
-            plan = signals.edit_timeline(impact - 2 if r.o_orderkey % 3 else None, impact, 70.0, angles=[(5.0, 9.0)] if r.o_orderkey % 2 else [])
-            out += [(r.o_custkey, r.o_orderkey, p["kind"], round(p["start"], 4), round(p["end"], 4)) for p in plan]
-        return pd.DataFrame(out, columns=["o_custkey", "o_orderkey", "kind", "start", "end"])
-
-    return g.per_key(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderkey"], kernel, "o_custkey long, o_orderkey long, kind string, start double, end double")
+    orders, price = table(spark, d, "orders"), F.col("o_totalprice")
+    impact = price - 60 * F.floor(price / 60)
+    snap = F.when(F.col("o_orderkey") % 3 > 0, impact - 2)
+    angle = F.when(F.col("o_orderkey") % 2 == 1, F.lit(5.0)), F.when(F.col("o_orderkey") % 2 == 1, F.lit(9.0))
+    rows = timelines.edit_timelines(orders.select("o_custkey", "o_orderkey", "o_totalprice"), snap, impact, F.lit(70.0), [angle])
+    return rows.select("o_custkey", "o_orderkey", "kind", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))

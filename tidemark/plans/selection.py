@@ -29,10 +29,10 @@ def top_five(spark, d):
 
 
 @query("round_robin_interleave", """
-WITH c AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r, min(o_orderkey) OVER (PARTITION BY o_orderpriority) AS f FROM orders WHERE o_totalprice > 300000)
+WITH c AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS r, min(o_orderkey) OVER (PARTITION BY o_orderpriority) AS f FROM orders)
 SELECT o_orderkey, row_number() OVER (ORDER BY r, f) AS place FROM c""")
 def round_robin_interleave(spark, d):
-    return k.interleaved(table(spark, d, "orders").filter("o_totalprice > 300000"), "o_orderpriority", "o_orderkey").select("o_orderkey", "place")
+    return k.interleaved(table(spark, d, "orders"), "o_orderpriority", "o_orderkey").select("o_orderkey", "place")
 
 
 @query("hint_first_order", f"""

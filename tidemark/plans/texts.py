@@ -27,8 +27,8 @@ _TOKENS = "regexp_extract_all(lower(line), '[a-z0-9'']+')"
 @query("token_vocab_score", f"""
 WITH f AS (SELECT doc_id, split_part(text, chr(10), 1) AS line, len(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS words, n_chars / 15.0 AS seconds FROM documents
 ), k AS (SELECT *, {_TOKENS} AS toks FROM f
-), b AS (SELECT doc_id, toks, words, seconds, toks[1] IN {t.WEAK_OPENERS} AS weak, contains(line, '?') AS question, len(list_filter(toks, lambda x: regexp_full_match(x, '[0-9]+'))) > 0 AS number,
-  len(list_distinct(list_filter(toks, lambda x: x IN {t.HOOK_WORDS}))) AS hits FROM k)
+), b AS (SELECT doc_id, toks, words, seconds, toks[1] IN ('also', 'and', 'because', 'but', 'or', 'so', 'that', 'then', 'uh', 'um', 'which') AS weak, contains(line, '?') AS question, len(list_filter(toks, lambda x: regexp_full_match(x, '[0-9]+'))) > 0 AS number,
+  len(list_distinct(list_filter(toks, lambda x: x IN ('actually', 'always', 'amazing', 'best', 'biggest', 'discover', 'discovered', 'first', 'how', 'imagine', 'incredible', 'mistake', 'most', 'never', 'only', 'really', 'secret', 'surprising', 'universe', 'what', 'why', 'worst', 'you', 'your')))) AS hits FROM k)
 SELECT doc_id, round(least(words / greatest(seconds, 0.1), 4.0) + CASE WHEN weak THEN -1.5 ELSE 0 END + CASE WHEN question THEN 1.0 ELSE 0 END + CASE WHEN number THEN 0.7 ELSE 0 END
   + least(hits, 3) * 0.4 + CASE WHEN len(toks) BETWEEN 3 AND 14 THEN 0.6 ELSE 0 END, 6) AS score,
   concat_ws('|', CASE WHEN weak THEN 'weak opener' END, CASE WHEN question THEN 'question hook' END, CASE WHEN number THEN 'number in hook' END, CASE WHEN hits > 0 THEN 'hook words' END,
@@ -82,9 +82,9 @@ def glob_first_rule(spark, d):
 
 
 @query("profanity_mask", r"""
-SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)\b(i)dio(t)\b', '\1***\2', 'g'), '(?i)\b(s)cu(m)\b', '\1**\2', 'g')) AS masked FROM documents WHERE lang = 'en'""")
+SELECT doc_id, md5(regexp_replace(regexp_replace(text, '(?i)\b(i)dio(t)\b', '\1***\2', 'g'), '(?i)\b(s)cu(m)\b', '\1**\2', 'g')) AS masked FROM documents""")
 def profanity_mask(spark, d):
-    return table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.md5(t.masked(F.col("text"), ["idiot", "scum"])).alias("masked"))
+    return table(spark, d, "documents").select("doc_id", F.md5(t.masked(F.col("text"), ["idiot", "scum"])).alias("masked"))
 
 
 @query("hms_format", """

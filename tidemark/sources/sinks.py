@@ -59,11 +59,17 @@ def subtitle_lines(df: DataFrame, start: Column, end: Column, text: Column) -> D
     return df.select(F.concat(F.lit("Dialogue: 0,"), subtitle_time(start), F.lit(","), subtitle_time(end), F.lit(",Main,,0,0,0,,"), text).alias("line"))
 
 
+#: Rows of a table of a report at most.
+REPORT_ROWS = 1000
+
+
 def markdown(counts: dict[str, DataFrame]) -> str:
-    """A report of small tables, each of a few rows, as text on the driver."""
+    """A report of small tables as text on the driver; one of over REPORT_ROWS rows is no report, and fails."""
     out = []
     for title, df in counts.items():
-        rows = df.limit(1000).collect()
+        rows = df.limit(REPORT_ROWS + 1).collect()
+        if len(rows) > REPORT_ROWS:
+            raise ValueError(f"{title} has more than {REPORT_ROWS} rows")
         out += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
         out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows] + [""]
     return "\n".join(out)

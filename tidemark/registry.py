@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
-_PLANS = ("intervals", "sequences", "evidence", "selection", "vectors", "texts", "changes", "kernels", "features", "reports", "streams")
+_PLANS = ("intervals", "sequences", "evidence", "selection", "vectors", "texts", "changes", "kernels", "features", "rules", "reports", "streams")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Longest word, in bytes, that the fold merges, whose steps grow with the square of the length; longer ones merge with a heap.
-LONGEST = 64
+#: Longest word, in bytes, that the fold merges, whose work grows with the square of the length; longer ones merge with a heap.
+LONGEST = 4096
 #: Words that every task knows from the start: the most frequent ones of a sample of documents. They only save time.
 SAMPLE_DOCS, KNOWN = 12_000, 1 << 18
 #: Words that a task numbers before it starts anew.
@@ -34,10 +34,10 @@ NUMBERED = 1 << 19
 #: Documents that go from stage to stage together.
 BATCH = 500
 
-#: What ranks as never: one more than any id of 16 bits.
-_NEVER = 1 << 16
-_SLOTS, _GROUPS = 1 << 18, 1 << 16
-_BY_SLOT, _BY_GROUP = (1540483477, 31), (1640531527, 27)
+#: What ranks as never, and the id of what stands before and after a word: more than any id of a piece.
+_NEVER, _BORDER = (1 << 16) - 1, (1 << 16) - 1
+_SLOTS, _GROUPS = 1 << 19, 1 << 16
+_BY_SLOT, _BY_GROUP = (40503, 25717), 30011
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,13 +60,13 @@ def hashed_map(pairs: dict[int, int]) -> tuple[list[int], list[int]]:
     """A perfect hash of the map for two array look-ups a key: shifts by group, and key << 16 | value by slot."""
     groups: dict[int, list[int]] = {}
     for key in pairs:
-        groups.setdefault(key * _BY_GROUP[0] >> _BY_GROUP[1] & _GROUPS - 1, []).append(key)
+        groups.setdefault((key >> 16) * _BY_GROUP + (key & 65535) & _GROUPS - 1, []).append(key)
     shifts, slots = [0] * _GROUPS, [-1] * _SLOTS
     for group, keys in sorted(groups.items(), key=lambda x: (-len(x[1]), x[0])):
-        at = [key * _BY_SLOT[0] >> _BY_SLOT[1] for key in keys]
+        at = [(key >> 16) * _BY_SLOT[0] + (key & 65535) * _BY_SLOT[1] for key in keys]
         for shift in range(_SLOTS):
             to = [a + shift & _SLOTS - 1 for a in at]
-            if len(set(to)) == len(to) and all(slots[t] < 0 for t in to):
+            if all(slots[t] < 0 for t in to) and len(set(to)) == len(to):
                 break
         else:
             raise ValueError("the pairs don't fit the slots")
@@ -83,11 +83,10 @@ class RankMap:
         self.shifts, self.slots = shifts, slots
 
     def __call__(self, a: Column, b: Column) -> Column:
-        key = F.shiftleft(a, 16).bitwiseOR(b)
-        shift = F.get(self.shifts, F.shiftright(key * _BY_GROUP[0], _BY_GROUP[1]).bitwiseAND(_GROUPS - 1).cast("int"))
-        slot = F.get(self.slots, (F.shiftright(key * _BY_SLOT[0], _BY_SLOT[1]) + shift).bitwiseAND(_SLOTS - 1).cast("int"))
+        shift = F.get(self.shifts, (a * _BY_GROUP + b).bitwiseAND(_GROUPS - 1).cast("int"))
+        slot = F.get(self.slots, (a * _BY_SLOT[0] + b * _BY_SLOT[1] + shift).bitwiseAND(_SLOTS - 1).cast("int"))
         # Of the right slot the rank is left, of any other one at least _NEVER.
-        return F.least(slot.bitwiseXOR(F.shiftleft(key, 16)).bitwiseAND((1 << 63) - 1), F.lit(_NEVER).cast("bigint"))
+        return F.least(slot.bitwiseXOR(F.shiftleft(a, 32).bitwiseOR(F.shiftleft(b, 16))).bitwiseAND((1 << 62) - 1), F.lit(_NEVER).cast("bigint"))
 
 
 def with_ranks(ranks: dict[bytes, int], body: Callable[[RankMap], Column]) -> Column:
@@ -101,34 +100,34 @@ def with_ranks(ranks: dict[bytes, int], body: Callable[[RankMap], Column]) -> Co
 def merged(word: Column, rank: RankMap) -> Column:
     """The ids of a word, not empty, given as the ids of its bytes: the leftmost pair of the least rank merges, until none can.
 
-    The fold's state is a long for each piece: the rank of its merge with the next one << 23 | its place in the word << 16 | its
-    id. The least long is then the next merge.
+    The fold's state is a long for each piece, and one before and after them: the rank of its merge with the next one
+    << 40 | its place in the word << 16 | its id. The least long is then the next merge.
     """
-    never = F.lit(_NEVER).cast("bigint")
     own = lambda x: x.bitwiseAND(65535)
-    ranked = lambda r: F.shiftleft(r, 23)
+    border = F.lit(_NEVER << 40 | ((1 << 24) - 1) << 16 | _BORDER).cast("bigint")
 
     def step(state: Column, _: Column) -> Column:
         def at(best: Column) -> Column:
-            new = F.shiftright(best, 23)
+            new = F.shiftright(best, 40)
 
             def build(p: Column) -> Column:
                 last = F.get(state, p - 2)
-                before = F.when(p > 1, F.array(ranked(rank(own(last), new)).bitwiseOR(last.bitwiseAND((1 << 23) - 1)))).otherwise(F.array().cast("array<bigint>"))
-                follows = F.when(p + 1 < F.size(state), rank(new, own(F.get(state, p + 1)))).otherwise(never)
-                here = ranked(follows).bitwiseOR(best.bitwiseAND(127 << 16)).bitwiseOR(new)
-                return F.concat(F.slice(state, F.lit(1), F.greatest(p - 2, F.lit(0))), before, F.array(here), F.slice(state, p + 2, F.size(state)))
+                before = F.shiftleft(rank(own(last), new), 40).bitwiseOR(last.bitwiseAND((1 << 40) - 1))
+                here = F.shiftleft(rank(new, own(F.get(state, p + 1))), 40).bitwiseOR(best.bitwiseAND(((1 << 24) - 1) << 16)).bitwiseOR(new)
+                return F.concat(F.slice(state, F.lit(1), p - 2), F.array(before, here), F.slice(state, p + 2, F.size(state)))
 
-            return F.when(new >= _NEVER, state).otherwise(F.get(F.transform(F.array(F.array_position(state, best).cast("int")), build), 0))
+            return F.when(new == _NEVER, state).otherwise(F.get(F.transform(F.array(F.array_position(state, best).cast("int")), build), 0))
 
         return F.get(F.transform(F.array(F.array_min(state)), at), 0)
 
     def begin(x: Column, i: Column) -> Column:
-        follows = F.when(i + 1 < F.size(word), rank(x.cast("bigint"), F.get(word, i + 1).cast("bigint"))).otherwise(never)
-        return ranked(follows).bitwiseOR(F.shiftleft(i.cast("bigint"), 16)).bitwiseOR(x)
+        x = x.cast("bigint")
+        follows = rank(x, F.coalesce(F.get(word, i + 1), F.lit(_BORDER)).cast("bigint"))
+        return F.shiftleft(follows, 40).bitwiseOR(F.shiftleft(i.cast("bigint"), 16)).bitwiseOR(x)
 
     steps = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
-    return F.transform(F.aggregate(steps, F.transform(word, begin), step), lambda x: own(x).cast("int"))
+    folded = F.aggregate(steps, F.concat(F.array(border), F.transform(word, begin), F.array(border)), step)
+    return F.transform(F.filter(folded, lambda x: own(x) != _BORDER), lambda x: own(x).cast("int"))
 
 
 def heap_merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -261,28 +260,31 @@ def _spelled(ids: list[int]) -> bytes:
 
 
 def _assembled(batches: Iterator[pa.RecordBatch], ranks: dict[bytes, int], known: list[bytes], with_ids: bool) -> Iterator[pa.RecordBatch]:
-    """Ids of documents from the numbers and the merged words; then, from the ids, their pieces again."""
+    """Ids of documents from the numbers and the merged words; then the pieces of the ids again, word by word."""
     pieces = {str(rank).encode(): piece for piece, rank in ranks.items()}
     first = len(ranks) + len(known)
     spelling = [str(i).encode() for i in range(len(ranks))] + list(known)
+    decode = lambda spelled: b"".join(map(pieces.__getitem__, spelled.split()))
+    plain = list(map(decode, spelling))
     for batch in (whole.slice(at, BATCH) for whole in batches for at in range(0, whole.num_rows, BATCH)):
         out, at = [], 0
         words = batch.column("words")
         met = pc.binary_join(words.flatten().cast(pa.list_(pa.string())), " ").cast(pa.binary()).to_pylist()
         for base, codes, n, long in zip(batch.column("base").to_pylist(), batch.column("codes").to_pylist(), words.value_lengths().to_pylist(), batch.column("long").to_pylist(), strict=True):
             if base == first:
-                del spelling[first:]
+                del spelling[first:], plain[first:]
+            new = met[at : at + n]
             if long:
                 rest = iter(long)
-                spelling += [w or _spelled(heap_merged(next(rest), ranks)) for w in met[at : at + n]]
-            else:
-                spelling += met[at : at + n]
+                new = [w or _spelled(heap_merged(next(rest), ranks)) for w in new]
+            spelling += new
+            plain += map(decode, new)
             at += n
-            spelled = b" ".join(map(spelling.__getitem__, np.frombuffer(codes, dtype=np.int32).tolist()))
-            ids = spelled.split(b" ") if spelled else []
-            decoded = b"".join(map(pieces.__getitem__, ids))
-            row = [len(ids), hashlib.sha256(spelled).hexdigest(), hashlib.sha256(decoded).hexdigest()]
-            out.append(row + ([list(map(int, ids)), decoded] if with_ids else []))
+            numbers = np.frombuffer(codes, dtype=np.int32).tolist()
+            spelled = b" ".join(map(spelling.__getitem__, numbers))
+            decoded = b"".join(map(plain.__getitem__, numbers))
+            row = [spelled.count(b" ") + 1 if spelled else 0, hashlib.sha256(spelled).hexdigest(), hashlib.sha256(decoded).hexdigest()]
+            out.append(row + ([list(map(int, spelled.split())), decoded] if with_ids else []))
         n, ids, decoded, *more = (list(c) for c in zip(*out, strict=True)) if out else ([],) * (5 if with_ids else 3)
         columns = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
         if with_ids:

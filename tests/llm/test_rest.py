@@ -246,3 +246,31 @@ def test_shards_of_one_key_and_large_documents(spark):
     assert all(total[r.shard_id] == r.shard_bytes and count[r.shard_id] == r.shard_docs for r in rows)
     assert all(t <= 20 for s, t in total.items() if s != "x2") and total["x2"] == 99
     assert sharding.extendible_shards(fixtures.documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 15, 21])
+def test_queries_of_few_vectors_get_all_others(spark, n):
+    vectors = spark.createDataFrame([(i, np.random.default_rng(i).normal(size=64).tolist()) for i in range(n)], "vec_id long, embedding array<double>")
+    rows = neighbours.nearest(vectors.filter("vec_id % 20 = 0"), vectors).collect()
+    assert sorted((r.query_id, r.rank) for r in rows) == [(q, k) for q in range(0, n, 20) for k in range(1, min(n - 1, 20) + 1)]
+
+
+def test_drawers_part_what_queries_meet():
+    """The more rows, the smaller the share that a query meets; recall stays over 0.9 on vectors that are noise alone."""
+    rng, shares = np.random.default_rng(4), []
+    for n in (2_000, 50_000):
+        x = rng.normal(size=(n, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        asked, fine = x[:40], neighbours.drawers(n, 64)
+        signs, met = neighbours.rotations(64, 2 * neighbours.TABLES), np.zeros((40, n), dtype=bool)
+        for t in range(neighbours.TABLES):
+            b, f = neighbours.probed(x, signs[2 * t : 2 * t + 2], fine, 1)
+            pb, pf = neighbours.probed(asked, signs[2 * t : 2 * t + 2], fine, round(neighbours.PROBES * fine**0.5))
+            for k in range(40):
+                met[k] |= np.isin(b[:, 0] * 64 + f[:, 0], pb[k] * 64 + pf[k])
+        score = asked @ x.T
+        score[np.arange(40), np.arange(40)] = -np.inf
+        best = np.argsort(-score, axis=1)[:, :20]
+        assert np.take_along_axis(met, best, axis=1).mean() >= 0.9
+        shares.append(met.mean())
+    assert shares[1] < 0.6 * shares[0]

@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Fast Hadamard pseudo-rotations turn unit vectors; the nearest signed axis is a vector's bucket in a table. A query probes
-the nearest axes of every table, and all that it meets is reranked by exact inner products. Directions say little of
+Fast Hadamard pseudo-rotations turn unit vectors; the nearest signed axis is a vector's bucket in a table. The nearest one of
+a second rotation, of which as many axes count as there are rows to tell apart, is its drawer there. A query probes the
+nearest pairs of both in every table, and all that it meets is reranked by exact inner products. Directions say little of
 inner products where few vectors are long, so sparse bands of norms are compared with every query; so is the whole table
 with queries that meet fewer than k rows.
 """
@@ -18,9 +19,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, table
 
-#: Tables, axes that a query probes in each, and rows of a block of a bucket. Recall on 10,000 and more vectors of 64
-#: dimensions that are noise around few centres is 0.98; of 500 such it is 0.95; clustered vectors are easier.
+#: Tables, axes that a query probes in each where there are no drawers, and rows of a block of a bucket.
 TABLES, PROBES, BLOCK = 8, 16, 1024
+#: Rows for a drawer, by which their number doubles, and how many a bucket has at most: as many as a long has bits.
+DRAWER, DRAWERS = 48, 64
 #: A band of norms within a factor of two that has no more rows than this is compared whole, if there are several bands.
 SPARSE = 512
 #: Buckets of sparse bands, and of the whole table.
@@ -47,14 +49,25 @@ def rotate(x: np.ndarray, signs: np.ndarray) -> np.ndarray:
     return y
 
 
-def axes(x: np.ndarray, signs: np.ndarray, probes: int) -> np.ndarray:
-    """By row and table the ``probes`` nearest signed axes, nearest first; axis i is i, its opposite size + i."""
-    out = []
-    for one in signs:
-        y = rotate(x, one)
-        both = np.concatenate([y, -y], axis=1)
-        out.append(np.argsort(-both, axis=1, kind="stable")[:, :probes])
-    return np.stack(out, axis=1)
+def drawers(rows: int, size: int) -> int:
+    """How many drawers a bucket has among ``rows`` vectors over ``size`` dimensions: 1, or a power of two up to DRAWERS or 2 * size."""
+    many = min(DRAWERS, 2 * size, rows // (2 * size * DRAWER))
+    return 1 << (many.bit_length() - 1) if many > 1 else 1
+
+
+def probed(x: np.ndarray, signs: np.ndarray, fine: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the ``probes`` best pairs of bucket and drawer, best first, by the sum of both coordinates."""
+    y = rotate(x, signs[0])
+    coarse = np.concatenate([y, -y], axis=1)
+    if fine == 1:
+        buckets = np.argsort(-coarse, axis=1, kind="stable")[:, :probes]
+        return buckets, np.zeros_like(buckets)
+    y = rotate(x, signs[1])[:, : fine // 2]
+    both = (coarse[:, :, None] + np.concatenate([y, -y], axis=1)[:, None, :]).reshape(len(x), -1)
+    probes = min(probes, both.shape[1])
+    best = np.argpartition(-both, probes - 1, axis=1)[:, :probes]
+    best = np.take_along_axis(best, np.argsort(-np.take_along_axis(both, best, axis=1), axis=1, kind="stable"), axis=1)
+    return best // fine, best % fine
 
 
 def _matrix(batch) -> np.ndarray:
@@ -63,38 +76,53 @@ def _matrix(batch) -> np.ndarray:
     return lists.flatten().to_numpy().reshape(len(lists), -1)
 
 
-def _hashed(batches: Iterator[pa.RecordBatch], longest: dict[int, float], tables: int, probes: int) -> Iterator[pa.RecordBatch]:
-    """Adds the buckets of each vector, and how many times its norm goes into the longest of its size, as a power of two."""
-    for batch in batches:
-        size = np.array([len(v) for v in batch.column("vector")])
-        for d in np.unique(size):
-            part = batch.filter(pa.array(size == d))
-            x = _matrix(part)
-            share = np.sqrt(((x / longest[int(d)]) ** 2).sum(axis=1))
-            band = np.maximum(np.floor(-np.log2(np.maximum(share, 1e-300))), 0).astype(np.int32)
-            found = axes(x, rotations(x.shape[1], tables), probes)
-            flat = (found + np.arange(tables)[None, :, None] * (1 << 20)).reshape(len(x), -1)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * flat.shape[1]), pa.array(flat.reshape(-1).astype(np.int32)))
-            yield pa.RecordBatch.from_pydict({"id": part.column("id"), "vector": part.column("vector"), "band": pa.array(band), "buckets": keys})
+def _hashed(batches: Iterator[pa.RecordBatch], known: dict[int, tuple[float, int]], tables: int, probes: int, asks: bool) -> Iterator[pa.RecordBatch]:
+    """Adds the buckets of each vector with its drawers there, a bit each, and how often its norm goes into the longest of its size, as a power of two."""
+    for whole in batches:
+        for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
+            size = np.array([len(v) for v in batch.column("vector")])
+            for d in np.unique(size):
+                part, (longest, rows) = batch.filter(pa.array(size == d)), known[int(d)]
+                x = _matrix(part)
+                share = np.sqrt(((x / longest) ** 2).sum(axis=1))
+                band = np.maximum(np.floor(-np.log2(np.maximum(share, 1e-300))), 0).astype(np.int32)
+                unit = x / longest / np.maximum(share, 1e-300)[:, None]
+                signs = rotations(x.shape[1], 2 * tables)
+                fine = drawers(rows, signs.shape[2])
+                per_row: list[dict[int, int]] = [{} for _ in x]
+                for t in range(tables):
+                    buckets, own = probed(unit, signs[2 * t : 2 * t + 2], fine, round(probes * fine**0.5) if asks else 1)
+                    for met, b, f in zip(per_row, (buckets + (t << 20)).tolist(), own.tolist(), strict=True):
+                        for key, drawer in zip(b, f, strict=True):
+                            met[key] = met.get(key, 0) | 1 << drawer
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(met) for met in per_row])]).astype(np.int32))
+                keys = np.array([k for met in per_row for k in met], dtype=np.int32)
+                bits = np.array([v for met in per_row for v in met.values()], dtype=np.uint64).view(np.int64)
+                place = pa.StructArray.from_arrays([pa.array(keys), pa.array(bits)], ["bucket", "drawers"])
+                yield pa.RecordBatch.from_pydict({"id": part.column("id"), "vector": part.column("vector"), "band": pa.array(band), "buckets": pa.ListArray.from_arrays(ends, place)})
 
 
 def _search(k: int):
+    def best_of(q, qid, c, cid):
+        s, n = q @ c.T, min(k, len(c))
+        bound = np.partition(s, len(c) - n, axis=1)[:, len(c) - n]
+        row, col = np.nonzero(s >= (bound - 1e-9 * (1 + np.abs(bound)))[:, None])
+        return qid[row], cid[col], (q[row] * c[col]).sum(axis=1)  # the same for equal vectors, wherever they stand
+
     def search(group: pa.Table) -> pa.Table:
         asks = group.column("asks").to_numpy(zero_copy_only=False).astype(bool)
         x, ids = _matrix(group), group.column("id").to_numpy()
-        q, c, qid, cid = x[asks], x[~asks], ids[asks], ids[~asks]
-        out = ([], [], [])
-        if len(q) and len(c):
-            s, n = q @ c.T, min(k, len(c))
-            bound = np.partition(s, len(c) - n, axis=1)[:, len(c) - n]
-            row, col = np.nonzero(s >= (bound - 1e-9 * (1 + np.abs(bound)))[:, None])
-            score = (q[row] * c[col]).sum(axis=1)  # the same for equal vectors, wherever they stand
-            order = np.lexsort((cid[col], -score, row))
-            row, col, score = row[order], col[order], score[order]
-            rank = np.arange(len(row)) - np.searchsorted(row, row)
-            best = rank < k
-            out = qid[row[best]], cid[col[best]], score[best]
-        return pa.table({"rep": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+        bits = np.ascontiguousarray(group.column("drawers").to_numpy()).view(np.uint64)
+        found = []
+        for drawer in np.unique(bits[~asks]):  # a bit each; queries have several
+            c, q = ~asks & (bits == drawer), asks & (bits & drawer > 0)
+            if q.any():
+                found.append(best_of(x[q], ids[q], x[c], ids[c]))
+        rep, cid, score = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        order = np.lexsort((cid, -score, rep))
+        rep, cid, score = rep[order], cid[order], score[order]
+        best = np.arange(len(rep)) - np.searchsorted(rep, rep) < k
+        return pa.table({"rep": pa.array(rep[best], pa.int64()), "vec_id": pa.array(cid[best], pa.int64()), "score": pa.array(score[best], pa.float64())})
 
     return search
 
@@ -116,18 +144,19 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, tables: int = T
 
     vectors, queries = clean(vectors), clean(queries)
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v))
-    longest = {r.d: r.high for r in vectors.groupBy(F.size("vector").alias("d")).agg(F.max(norm).alias("high")).collect()}
+    sizes = {r.d: (r.high, r.n) for r in vectors.groupBy(F.size("vector").alias("d")).agg(F.max(norm).alias("high"), F.count(F.lit(1)).alias("n")).collect()}
     first = F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))
     candidates = vectors.withColumn("_n", first).filter(F.col("_n") <= k + 1).select(F.col("vec_id").alias("id"), "vector")
     asked = cut(queries.groupBy("vector").agg(F.min("vec_id").alias("id")), "queries")
 
-    schema = "id long, vector array<double>, band int, buckets array<int>"
-    known, d = F.size("vector").isin([*longest, -1]), F.size("vector").alias("d")
-    index = cut(candidates.mapInArrow(lambda b: _hashed(b, longest, tables, 1), schema), "index").withColumn("d", d)
-    probing = cut(asked.filter(known).select("id", "vector").mapInArrow(lambda b: _hashed(b, longest, tables, probes), schema), "probes").withColumn("d", d)
+    schema = "id long, vector array<double>, band int, buckets array<struct<bucket: int, drawers: long>>"
+    known, d = F.size("vector").isin([*sizes, -1]), F.size("vector").alias("d")
+    index = cut(candidates.mapInArrow(lambda b: _hashed(b, sizes, tables, probes, False), schema), "index").withColumn("d", d)
+    probing = cut(asked.filter(known).select("id", "vector").mapInArrow(lambda b: _hashed(b, sizes, tables, probes, True), schema), "probes").withColumn("d", d)
+    one = lambda bucket: F.array(F.struct(F.lit(bucket).alias("bucket"), F.lit(1).cast("long").alias("drawers")))
 
     def dealt(df: DataFrame, buckets: Column) -> DataFrame:
-        return df.select("id", "vector", "d", F.explode(buckets).alias("bucket"))
+        return df.select("id", "vector", "d", F.explode(buckets).alias("at")).select("id", "vector", "d", "at.*")
 
     def compared(left: DataFrame, right: DataFrame) -> DataFrame:
         """The k + 1 best of ``left`` in each pair of blocks of a bucket, for the rows of ``right``."""
@@ -137,8 +166,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, tables: int = T
         blocks = F.broadcast(cut(blocks, "blocks"))  # a row for each signed axis of each table at most, and one for sparse bands
         own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
         each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-        left = left.join(blocks, ["d", "bucket"]).select("id", "vector", "d", "bucket", F.lit(False).alias("asks"), own("cb").alias("c"), each("qb").alias("q"))
-        right = right.join(blocks, ["d", "bucket"]).select("id", "vector", "d", "bucket", F.lit(True).alias("asks"), each("cb").alias("c"), own("qb").alias("q"))
+        left = left.join(blocks, ["d", "bucket"]).select("id", "vector", "d", "bucket", "drawers", F.lit(False).alias("asks"), own("cb").alias("c"), each("qb").alias("q"))
+        right = right.join(blocks, ["d", "bucket"]).select("id", "vector", "d", "bucket", "drawers", F.lit(True).alias("asks"), each("cb").alias("c"), own("qb").alias("q"))
         met = left.unionByName(right).groupBy("d", "bucket", "c", "q").applyInArrow(_search(k + 1), "rep long, vec_id long, score double")
         found = met.groupBy("rep", "vec_id").agg(F.max("score").alias("score"))
         best = W.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
@@ -146,15 +175,14 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, tables: int = T
 
     bands = F.broadcast(index.groupBy("d", "band").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_bands", F.count(F.lit(1)).over(W.partitionBy("d"))))  # no more than exponents of a double, by size
     sparse = (F.col("_bands") > 1) & (F.col("_rows") <= SPARSE)
-    placed = F.when(sparse, F.array(F.lit(BAND))).otherwise(F.col("buckets"))
-    found = cut(compared(dealt(index.join(bands, ["d", "band"]), placed), dealt(probing, F.concat("buckets", F.array(F.lit(BAND))))), "found")
+    placed = F.when(sparse, one(BAND)).otherwise(F.col("buckets"))
+    found = cut(compared(dealt(index.join(bands, ["d", "band"]), placed), dealt(probing, F.concat("buckets", one(BAND)))), "found")
 
     there = F.broadcast(index.groupBy("d").agg(F.least(F.count(F.lit(1)), F.lit(k + 1)).alias("_there")))
     counts = found.groupBy(F.col("rep").alias("id")).agg(F.count(F.lit(1)).alias("_found"))
     short = cut(probing.join(there, "d").join(counts, "id", "left").filter("coalesce(_found, 0) < _there").select("id", "vector", "d"), "short")
     if not short.isEmpty():
-        every = F.array(F.lit(ALL))
-        exact = compared(dealt(index, every), dealt(short, every))
+        exact = compared(dealt(index, one(ALL)), dealt(short, one(ALL)))
         found = cut(found.join(short.select(F.col("id").alias("rep")), "rep", "left_anti").unionByName(exact), "exact")
 
     rows = queries.join(asked.withColumnRenamed("id", "rep"), "vector").select(F.col("vec_id").alias("query_id"), "rep")

@@ -51,8 +51,8 @@ def text_features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
     return (keys >> np.uint64(20)).astype(np.int64), (keys & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def counterfactuals(text: bytes, most: int = 8) -> list[tuple[bytes, bytes]]:
-    """Sentences with identity terms and the same with all their terms swapped, for at most ``most`` sentences a text."""
+def counterfactuals(text: bytes) -> list[tuple[bytes, bytes]]:
+    """Sentences with identity terms and the same with all their terms swapped."""
     out = []
     lowered = text.translate(LOWER.tobytes())
     if not _TERM.search(lowered):
@@ -62,8 +62,6 @@ def counterfactuals(text: bytes, most: int = 8) -> list[tuple[bytes, bytes]]:
             turn = len(out)
             swap = lambda m, turn=turn: (s := _SWAPS[m[1].decode()])[turn % len(s)].encode()
             out.append((sentence, _TERM.sub(swap, sentence)))
-            if len(out) == most:
-                break
     return out
 
 

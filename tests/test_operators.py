@@ -77,9 +77,12 @@ def test_order_by_penalty():
     assert order[0] == 0 and order[-1] == 1 and sorted(order) == [0, 1, 2, 3]
 
 
-def test_knapsack_relaxes_only_when_it_helps():
-    assert greedy.knapsack_levels([[5, 5, 5], [4, 4, 4], [3, 3, 3]], [3, 2, 1], 0, 12) == (1, [0, 1, 2])
-    assert greedy.knapsack_levels([[5, 5], [4, 4]], [1, 1], 0, 3) == (0, [])
+def test_knapsack_relaxes_only_when_it_helps(spark):
+    rows = [(1, 0, 5.0), (1, 1, 5.0), (1, 2, 5.0), (2, 0, 99.0), (2, 1, 1.0), (3, 0, 5.0), (3, 1, 9.0), (3, 2, 2.0)]
+    items = F.array_sort(F.collect_list(F.struct("id", "size")))
+    df = spark.createDataFrame(rows, "k int, id int, size double").groupBy("k").agg(items.alias("items"))
+    found = {r.k: (r.p.level, r.p.picks) for r in df.select("k", topk.fitted_level("items", [1.0, 0.8, 0.6], 12.0).alias("p")).collect()}
+    assert found == {1: (1, [0, 1, 2]), 2: (0, []), 3: (2, [0, 1, 2])}
 
 
 def test_zigzag_and_repetitions():

@@ -61,6 +61,24 @@ def diversified(df: DataFrame, group: str, source: str, n: int, apart: int, pena
     return best.select(group, source, "id", (F.row_number().over(W.partitionBy(group).orderBy("turn", "first")) - 1).alias("place"))
 
 
+def fitted_level(items: str, factors: list[float], budget: float) -> Column:
+    """(level, picks): the first level of trimming with the most picks, and the ids picked.
+
+    ``items`` is an array of (.., id, size), the opener first and then by score; at a level sizes shrink by its factor, and a
+    fold over the items picks what still fits, or nothing if the opener doesn't. Keys are entities whose items fit a row.
+    """
+
+    def picked(level: int, by: float) -> Column:
+        size = lambda x: x["size"] * F.lit(by)
+        none = F.struct(F.lit(0.0).alias("total"), F.transform(F.slice(items, 1, 0), lambda x: x["id"]).alias("picks"))
+        grown = lambda acc, x: F.struct((acc["total"] + size(x)).alias("total"), F.concat(acc["picks"], F.array(x["id"])).alias("picks"))
+        fold = F.aggregate(items, none, lambda acc, x: F.when(acc["total"] + size(x) <= budget, grown(acc, x)).otherwise(acc))["picks"]
+        picks = F.when(size(F.get(F.col(items), F.lit(0))) <= budget, fold).otherwise(none["picks"])
+        return F.struct((-F.size(picks)).alias("n"), F.lit(level).alias("level"), picks.alias("picks"))
+
+    return F.array_min(F.array(*(picked(level, by) for level, by in enumerate(factors))))
+
+
 def evenly(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
     """Of each key the rows at ``n`` even steps from first to last."""
     w = W.partitionBy(*keys)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import greedy as g
 from tidemark.operators import signals, timelines
-from tidemark.operators.topk import diversified
+from tidemark.operators.topk import diversified, fitted_level
 from tidemark.plans import EVENTS, events
 from tidemark.registry import query
 from tidemark.sources.tables import table
@@ -157,7 +157,16 @@ def greedy_link_chain(spark, d):
     return g.per_key(_milli(spark, d).select("k", "id", "s", "e", "x"), ["k"], ["s", "id"], kernel, "k long, id long, place int")
 
 
-@query("caption_pages")
+@query("caption_pages", f"""
+WITH RECURSIVE {EVENTS}, o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s, id) AS i FROM ev
+), r AS (
+  SELECT k, id, i, e, w, CAST(0 AS BIGINT) AS page, 1 AS n, length(w) AS chars FROM o WHERE i = 1
+  UNION ALL
+  SELECT o.k, o.id, o.i, o.e, o.w, CASE WHEN o.s - r.e > 12 * {HOUR} OR r.n >= 5 OR r.chars + 1 + length(o.w) > 24 THEN r.page + 1 ELSE r.page END,
+    CASE WHEN o.s - r.e > 12 * {HOUR} OR r.n >= 5 OR r.chars + 1 + length(o.w) > 24 THEN 1 ELSE r.n + 1 END,
+    CASE WHEN o.s - r.e > 12 * {HOUR} OR r.n >= 5 OR r.chars + 1 + length(o.w) > 24 THEN length(o.w) ELSE r.chars + 1 + length(o.w) END
+  FROM r JOIN o ON o.k = r.k AND o.i = r.i + 1
+) SELECT k, id, page FROM r""")
 def caption_pages(spark, d):
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         return rows[["k", "id"]].assign(page=g.pages(rows.w.tolist(), rows.s.tolist(), rows.e.tolist(), 12 * HOUR))
@@ -187,14 +196,21 @@ def penalty_order(spark, d):
     return g.per_key(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"), ["o_custkey"], ["o_orderkey"], kernel, "o_custkey long, o_orderkey long, place int")
 
 
-@query("knapsack_levels")
+@query("knapsack_levels", f"""
+WITH RECURSIVE b AS (SELECT l_orderkey AS k, l_linenumber AS id, l_quantity AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_quantity) AS i FROM lineitem
+), v AS (SELECT b.*, l.level, q * l.f AS size FROM b, (VALUES (0, 1.0::DOUBLE), (1, 0.8), (2, 0.6)) l(level, f)
+), r AS (
+  SELECT k, level, i, size AS total, [id] AS picks FROM v WHERE i = 1 AND size <= 60
+  UNION ALL
+  SELECT r.k, r.level, v.i, CASE WHEN total + size <= 60 THEN total + size ELSE total END, CASE WHEN total + size <= 60 THEN list_append(picks, v.id) ELSE picks END FROM r JOIN v ON v.k = r.k AND v.level = r.level AND v.i = r.i + 1
+), e AS (SELECT k, level, arg_max(picks, i) AS picks FROM r GROUP BY k, level
+), f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY k ORDER BY len(picks) DESC, level) = 1)
+SELECT k AS l_orderkey, CAST(unnest(picks) AS INTEGER) AS l_linenumber, level FROM f""")
 def knapsack_levels(spark, d):
-    def kernel(rows: pd.DataFrame) -> pd.DataFrame:
-        size, score = rows.l_quantity.tolist(), rows.l_extendedprice.tolist()
-        level, picks = g.knapsack_levels([[x * f for x in size] for f in (1.0, 0.8, 0.6)], score, int(np.argmax(score)), 60.0)
-        return rows.iloc[picks][["l_orderkey", "l_linenumber"]].assign(level=level)
-
-    return g.per_key(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"), ["l_orderkey"], ["l_linenumber", "l_quantity", "l_extendedprice"], kernel, "l_orderkey long, l_linenumber int, level int")
+    lines = table(spark, d, "lineitem")
+    best_first = F.array_sort(F.collect_list(F.struct((-F.col("l_extendedprice")).alias("s"), F.col("l_linenumber").alias("id"), F.col("l_quantity").alias("size"))))
+    rows = lines.groupBy("l_orderkey").agg(best_first.alias("items")).select("l_orderkey", fitted_level("items", [1.0, 0.8, 0.6], 60.0).alias("p"))
+    return rows.select("l_orderkey", F.explode("p.picks").alias("l_linenumber"), "p.level")
 
 
 @query("iou_tracker")
@@ -209,7 +225,16 @@ def iou_tracker(spark, d):
     return g.per_key(_boxes(spark, d), ["k"], ["id"], kernel, "k long, id long, track int")
 
 
-@query("face_clusters")
+@query("face_clusters", f"""
+WITH RECURSIVE {_MILLI}, o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s, id) AS i FROM ev
+), r AS (
+  SELECT k, id, i, [{{'m': CAST(x AS DOUBLE), 'n': 1}}] AS c, CAST(0 AS BIGINT) AS cluster FROM o WHERE i = 1
+  UNION ALL
+  SELECT k, id, i, CASE WHEN near THEN list_transform(c, lambda p, j: CASE WHEN j = spot THEN {{'m': p.m + (x - p.m) / (p.n + 1), 'n': p.n + 1}} ELSE p END) ELSE list_append(c, {{'m': CAST(x AS DOUBLE), 'n': 1}}) END,
+    CASE WHEN near THEN spot - 1 ELSE len(c) END
+  FROM (SELECT *, list_min(list_transform(c, lambda p: abs(p.m - x))) <= 4000 AS near, list_position(list_transform(c, lambda p: abs(p.m - x)), list_min(list_transform(c, lambda p: abs(p.m - x)))) AS spot
+    FROM (SELECT o.k, o.id, o.i, o.x, r.c FROM r JOIN o ON o.k = r.k AND o.i = r.i + 1))
+) SELECT k, id, cluster FROM r""")
 def face_clusters(spark, d):
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         return rows[["k", "id"]].assign(cluster=g.one_dimensional_clusters(rows.x.tolist(), 4000))
@@ -228,7 +253,12 @@ def scene_replays(spark, d):
     return g.per_key(_milli(spark, d).select("k", "id", "s", "e", "x"), ["k"], ["s", "id"], kernel, "k long, id long, kind string")
 
 
-@query("best_run_in_budget")
+@query("best_run_in_budget", f"""
+WITH {_MILLI}, o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s, id) AS i FROM ev
+), c AS (SELECT *, sum((e - s) // {HOUR}) OVER (PARTITION BY k ORDER BY i) AS hours, sum(x) OVER (PARTITION BY k ORDER BY i) AS worth FROM o
+), p AS (SELECT a.k, a.i AS a, z.i AS z, z.worth - a.worth + a.x AS sum FROM c a JOIN c z ON a.k = z.k AND z.i >= a.i AND z.hours - a.hours + (a.e - a.s) // {HOUR} <= 15
+), b AS (SELECT k, a, z FROM p WHERE sum > 0 QUALIFY row_number() OVER (PARTITION BY k ORDER BY sum DESC, a, z) = 1)
+SELECT o.k, o.id FROM o JOIN b ON o.k = b.k AND o.i BETWEEN b.a AND b.z""")
 def best_run_in_budget(spark, d):
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         a, z = g.best_run(((rows.e - rows.s) / HOUR).tolist(), rows.x.tolist(), 15.0)
@@ -237,7 +267,14 @@ def best_run_in_budget(spark, d):
     return g.per_key(_milli(spark, d).select("k", "id", "s", "e", "x"), ["k"], ["s", "id"], kernel, "k long, id long")
 
 
-@query("adaptive_low_pass")
+@query("adaptive_low_pass", f"""
+WITH RECURSIVE {_MILLI}, o AS (SELECT *, x / 1000.0::DOUBLE AS v, row_number() OVER (PARTITION BY k ORDER BY s, id) AS i FROM ev
+), r AS (
+  SELECT k, id, i, v AS y, 0.0::DOUBLE AS speed FROM o WHERE i = 1
+  UNION ALL
+  SELECT k, id, i, y + (v - y) / (1 + 30 / (2 * pi() * (1.2 + 0.02 * abs(sp)))), sp
+  FROM (SELECT o.k, o.id, o.i, o.v, r.y, r.speed + ((o.v - r.y) * 30 - r.speed) / (1 + 30 / (2 * pi())) AS sp FROM r JOIN o ON o.k = r.k AND o.i = r.i + 1)
+) SELECT k, id, round(y, 6) AS smooth FROM r""")
 def adaptive_low_pass(spark, d):
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         return rows[["k", "id"]].assign(smooth=signals.adaptive_low_pass(rows.x / 1000, 30.0).round(6))
@@ -245,7 +282,11 @@ def adaptive_low_pass(spark, d):
     return g.per_key(_milli(spark, d).select("k", "id", "s", "x"), ["k"], ["s", "id"], kernel, "k long, id long, smooth double")
 
 
-@query("polynomial_smooth")
+@query("polynomial_smooth", f"""
+WITH {_MILLI}, o AS (SELECT k, id, x / 1000.0::DOUBLE AS v, row_number() OVER (PARTITION BY k ORDER BY s, id) AS i, count(*) OVER (PARTITION BY k) AS n FROM ev
+), w(j, c) AS (VALUES (-4, -21), (-3, 14), (-2, 39), (-1, 54), (0, 59), (1, 54), (2, 39), (3, 14), (4, -21)
+), f AS (SELECT a.k, a.id, sum(w.c * b.v) / 231 AS y FROM o a CROSS JOIN w JOIN o b ON b.k = a.k AND b.i = greatest(1, least(a.n, a.i + w.j)) WHERE a.n >= 9 GROUP BY a.k, a.id)
+SELECT k, id, round(y, 6) AS smooth FROM f UNION ALL SELECT k, id, round(v, 6) FROM o WHERE n < 9""")
 def polynomial_smooth(spark, d):
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         return rows[["k", "id"]].assign(smooth=signals.polynomial_smooth(rows.x / 1000).round(6))
@@ -289,7 +330,12 @@ def camera_path(spark, d):
     return g.per_key(events(spark, d).select("k", "id", "s"), ["k"], ["s", "id"], kernel, "k long, id long, centre double")
 
 
-@query("neutral_zone")
+@query("neutral_zone", f"""
+WITH o AS (SELECT DISTINCT l_orderkey, l_quantity AS u, lead(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS v FROM lineitem
+), g AS (SELECT o.l_orderkey, u, v, (v - u) / 1.5::DOUBLE AS gap, count(CASE WHEN l_quantity <= u AND l_quantity >= u - 4.5 THEN 1 END) AS a, count(CASE WHEN l_quantity >= v AND l_quantity <= v + 4.5 THEN 1 END) AS z
+  FROM o JOIN lineitem l USING (l_orderkey) WHERE v > u GROUP BY o.l_orderkey, u, v
+), b AS (SELECT *, least(a, z) * least(gap, 4) AS score FROM g WHERE gap > 0.5 AND gap <= 8 AND least(a, z) >= 2 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, u) = 1)
+SELECT k.l_orderkey, (b.u + b.v) / 2 AS line, coalesce(b.score, 0) AS score FROM (SELECT DISTINCT l_orderkey FROM lineitem) k LEFT JOIN b USING (l_orderkey)""")
 def neutral_zone(spark, d):
     def kernel(rows: pd.DataFrame) -> pd.DataFrame:
         found = signals.neutral_zone(rows.l_quantity, 1.5)

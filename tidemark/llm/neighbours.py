@@ -57,13 +57,12 @@ def drawers(rows: int, size: int) -> int:
 
 def probed(x: np.ndarray, signs: np.ndarray, fine: int, probes: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each row the ``probes`` best pairs of bucket and drawer, best first, by the sum of both coordinates."""
-    y = rotate(x, signs[0])
-    coarse = np.concatenate([y, -y], axis=1)
-    if fine == 1:
-        buckets = np.argsort(-coarse, axis=1, kind="stable")[:, :probes]
-        return buckets, np.zeros_like(buckets)
-    y = rotate(x, signs[1])[:, : fine // 2]
-    both = (coarse[:, :, None] + np.concatenate([y, -y], axis=1)[:, None, :]).reshape(len(x), -1)
+    signed = lambda y: np.concatenate([y, -y], axis=1)
+    coarse = signed(rotate(x, signs[0]))
+    drawer = signed(rotate(x, signs[1])[:, : fine // 2]) if fine > 1 else np.zeros((len(x), 1))
+    if probes == 1:
+        return coarse.argmax(axis=1)[:, None], drawer.argmax(axis=1)[:, None]
+    both = (coarse[:, :, None] + drawer[:, None, :]).reshape(len(x), -1)
     probes = min(probes, both.shape[1])
     best = np.argpartition(-both, probes - 1, axis=1)[:, :probes]
     best = np.take_along_axis(best, np.argsort(-np.take_along_axis(both, best, axis=1), axis=1, kind="stable"), axis=1)

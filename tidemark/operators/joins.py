@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.minhash import connected
+from tidemark.operators.graphs import connected
 from tidemark.sources.tables import cut
 
 

@@ -51,6 +51,36 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(gone, "doc_id", "left_anti").select("row.*")
 
 
+#: Bits of the filters that go to all executors, a prime, so that any step between values spreads them. They only spare work: what passes is looked at exactly.
+FILTER_BITS = (1 << 26) - 5
+
+
+def bit_filter(values: DataFrame, column: str) -> np.ndarray:
+    """A bit per long modulo FILTER_BITS, packed; at most FILTER_BITS / 8 bytes come to the driver. Nulls set none."""
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1
+    rows = values.filter(F.col(column).isNotNull()).groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toArrow()
+    out = np.zeros((FILTER_BITS // 32768 + 1, 4096), dtype=np.uint8)
+    for k, bits in zip(rows.column("k").to_pylist(), rows.column("bits").to_pylist(), strict=True):
+        out[k - 1] = np.frombuffer(bits, dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    at = values % FILTER_BITS
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def filtered(df: DataFrame, column: str, bits, wanted: bool = True) -> DataFrame:
+    """Rows of ``df`` whose long passes the broadcast filter ``bits``, or, unless ``wanted``, those whose long doesn't."""
+
+    def run(batches):
+        for batch in batches:
+            values = batch.column(column).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(passes(bits.value, np.ascontiguousarray(values, dtype=np.int64)) == wanted))
+
+    return df.mapInArrow(run, df.schema)
+
+
 #: A-Z to a-z, other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32

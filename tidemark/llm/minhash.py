@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, SPACED, cut, mix, prefix_hash, span_hash, table, text_batches, without, word_spans
+from tidemark.llm.common import LOWER, SPACED, bit_filter, cut, filtered, mix, passes, prefix_hash, span_hash, table, text_batches, without, word_spans
 from tidemark.operators.graphs import connected
 
 #: Registers of a signature; bands of ROWS registers each. A pair at 0.8 meets in no band with probability 5e-8.
@@ -132,10 +132,14 @@ def _signed(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Record
         })
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    for _, data, ends in text_batches(batches):
-        sets, offsets = shingle_sets(data, ends, words)
-        yield pa.RecordBatch.from_pydict({"digest": _digests(sets, offsets), "hashes": _lists(sets, offsets)})
+def _sets(batches: Iterator[pa.RecordBatch], words: int, bits) -> Iterator[pa.RecordBatch]:
+    """Sets of the rows whose doc_id passes ``bits``, and of those without one."""
+    for batch in batches:
+        ids = batch.column(0)
+        passing = passes(bits.value, ids.fill_null(0).to_numpy()) | ids.is_null().to_numpy(zero_copy_only=False)
+        for part, data, ends in text_batches([batch.filter(pa.array(passing))]):
+            sets, offsets = shingle_sets(data, ends, words)
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "digest": _digests(sets, offsets), "hashes": _lists(sets, offsets)})
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], counts: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
@@ -171,10 +175,15 @@ def _pairs(met: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose full sets are similar enough; what sizes and parities rule out isn't compared."""
+    """Of the pairs (a, b) those whose full sets are similar enough; what sizes and parities rule out isn't compared.
+
+    Only sets that some pair needs are dealt out, by a filter of bits.
+    """
     for x in "ab":
         pairs = pairs.join(members.select(F.col("node").alias(x), F.struct("n", *_BITS).alias(f"own_{x}")), x)
-    pairs = pairs.filter(_may_link("own_a", "own_b", percent)).select("a", "b")
+    pairs = cut(pairs.filter(_may_link("own_a", "own_b", percent)).select("a", "b"), "pairs")
+    needed = bit_filter(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
+    sets = filtered(sets, "node", sets.sparkSession.sparkContext.broadcast(needed))
     left, right = (sets.select(F.col("node").alias(x), F.col("hashes").alias(f"h{x}")) for x in "ab")
     joined = pairs.join(left, "a").join(right, "b").withColumn("common", F.size(F.array_intersect("ha", "hb")).cast("long"))
     return joined.filter(f"100 * common >= {percent} * (size(ha) + size(hb) - common)").select("a", "b")
@@ -203,9 +212,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     buckets = cut(in_bands.join(shared, "key"), "buckets")
 
     members = cut(buckets.select("node").distinct().join(classes.drop("keys"), "node"), "members")
-    ids = members.select(F.col("doc_id").alias("_id")).distinct()
-    sets = texts.join(ids, texts.doc_id.eqNullSafe(ids._id), "left_semi").mapInArrow(lambda b: _sets(b, words), "digest binary, hashes array<long>")
-    sets = sets.join(members.select("digest", "node"), "digest").select("node", "hashes")
+    passing = docs.sparkSession.sparkContext.broadcast(bit_filter(members, "doc_id"))
+    sets = texts.mapInArrow(lambda b: _sets(b, words, passing), "doc_id long, digest binary, hashes array<long>").alias("s")
+    own = members.select("digest", "doc_id", "node").alias("m")
+    sets = sets.join(own, F.expr("s.digest = m.digest and s.doc_id <=> m.doc_id")).select("node", "hashes")
     if signed.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count():
         sets = sets.groupBy("node").agg(F.first("hashes").alias("hashes"))
     sets = cut(sets, "sets")

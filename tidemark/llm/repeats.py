@@ -17,7 +17,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, mix, prefix_hash, span_hash, table, text_batches, text_column
+from tidemark.llm.common import bit_filter, cut, filtered, mix, prefix_hash, span_hash, table, text_batches, text_column
 
 #: Bytes of a string that counts as a repeat, and of the pieces whose hashes choose anchors.
 LENGTH, PIECE = 100, 32
@@ -28,8 +28,6 @@ BEFORE, AFTER = WINDOW - 1, LENGTH
 MANY = 256
 #: Those ranges. Strings of a range share the bytes that all of them have.
 RANGES = ((0, 3), (4, 16), (17, BEFORE))
-#: Bits of the filters that go to all executors. They only spare work: what passes is looked at exactly.
-FILTER_BITS = 1 << 26
 #: Bytes of contexts in a shard, and about how many are merged at once.
 SHARD, UNIT = 1 << 16, 1 << 18
 #: Order of the shards' own transforms, and bytes by which a step of the merge refines.
@@ -79,30 +77,6 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         })
 
 
-def _filter(values: DataFrame, column: str) -> np.ndarray:
-    """A bit per value modulo FILTER_BITS, packed; at most FILTER_BITS / 8 bytes come to the driver."""
-    bit = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1
-    rows = values.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).toArrow()
-    out = np.zeros((FILTER_BITS >> 15, 4096), dtype=np.uint8)
-    for k, bits in zip(rows.column("k").to_pylist(), rows.column("bits").to_pylist(), strict=True):
-        out[k - 1] = np.frombuffer(bits, dtype=np.uint8)
-    return out.reshape(-1)
-
-
-def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = values.view(np.uint64) & np.uint64(FILTER_BITS - 1)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
-def _filtered(df: DataFrame, column: str, bits, wanted: bool = True) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            values = batch.column(column).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(_passes(bits.value, np.ascontiguousarray(values, dtype=np.int64)) == wanted))
-
-    return df.mapInArrow(run, df.schema)
-
-
 class ShardTransform:
     """The Burrows-Wheeler transform of order ORDER of some contexts.
 
@@ -288,8 +262,8 @@ def removal_spans(docs: DataFrame) -> DataFrame:
     texts = docs.select(_ordered(docs).alias("doc_id"), text_column(docs).alias("text"))
     found = cut(texts.mapInArrow(_anchored, "doc_id long, pos long, piece long, context long"), "anchors")
     again = found.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("piece")
-    bits = spark.sparkContext.broadcast(_filter(again, "piece"))
-    passed = _filtered(found, "piece", bits)
+    bits = spark.sparkContext.broadcast(bit_filter(again, "piece"))
+    passed = filtered(found, "piece", bits)
     classes = passed.groupBy("piece", "context").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count(F.lit(1)).alias("n"))
     classes = cut(classes, "classes")
 
@@ -302,8 +276,8 @@ def removal_spans(docs: DataFrame) -> DataFrame:
     groups = classes.groupBy("piece").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("piece", (F.col("k") > MANY).alias("many"))
     firsts = classes.select("piece", "first.doc_id", "first.pos").join(groups, "piece")
     places = cut(firsts.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "piece", "many")).alias("anchors")), "places")
-    doc_bits = spark.sparkContext.broadcast(_filter(places.select("doc_id"), "doc_id"))
-    held = _filtered(texts.select("doc_id", F.col("text").cast("binary").alias("text")), "doc_id", doc_bits)
+    doc_bits = spark.sparkContext.broadcast(bit_filter(places.select("doc_id"), "doc_id"))
+    held = filtered(texts.select("doc_id", F.col("text").cast("binary").alias("text")), "doc_id", doc_bits)
     held = held.join(places, "doc_id")
     contexts = cut(held.mapInArrow(_context_rows, "doc_id long, first long, before int, piece long, many boolean, bytes binary"), "contexts")
 
@@ -331,9 +305,9 @@ def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spans = removal_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("s"))
     spans = spans.select("doc_id", F.col("s.start").alias("_start"), F.col("s.end").alias("_end"))
     spans = cut(spans.withColumnRenamed("doc_id", "_id"), "spans")
-    bits = docs.sparkSession.sparkContext.broadcast(_filter(spans, "_id"))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(spans, "_id"))
     rows = docs.select(F.struct("*").alias("row"), _ordered(docs).alias("_id"))
-    return _filtered(rows, "_id", bits, wanted=False), _filtered(rows, "_id", bits).join(spans, "_id", "left")
+    return filtered(rows, "_id", bits, wanted=False), filtered(rows, "_id", bits).join(spans, "_id", "left")
 
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.sources.tables import cut
+from tidemark.sources.tables import cut, standing
 
 
+@standing
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes of ``edges`` (a, b); a component is named by its least node.
 

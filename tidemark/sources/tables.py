@@ -6,6 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +47,50 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: While a table is written: its plan's shuffle files go when it stands, as no later plan reads them, and Python gets batches of bounded size.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+#: Folders cut by each operator that is under way, the innermost last.
+_made: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, so that lost executors cost no recomputation."""
-    path = new_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_dir(df.sparkSession, what)
+    before = {key: spark.conf.get(key, None) for key in _WRITING}
+    for key, value in _WRITING.items():
+        spark.conf.set(key, value)
+    try:
+        df.write.parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+    for made in _made.get()[-1:]:
+        made.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def standing(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Let ``operator`` return a table of its own, and delete the tables that it and what it calls cut their plans with."""
+
+    @wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        inner: list[str] = []
+        token = _made.set((*_made.get(), inner))
+        try:
+            out = cut(operator(*args, **kwargs), operator.__name__)
+            whole = inner.pop()
+        finally:
+            _made.reset(token)
+            for path in inner:
+                delete(SparkSession.active(), path)
+        for made in _made.get()[-1:]:
+            made.append(whole)
+        return out
+
+    return run

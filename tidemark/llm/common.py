@@ -15,6 +15,8 @@ from tidemark.sources.tables import table as table
 
 #: Bytes of text that the numpy kernels look at together; one longer document is looked at alone.
 CHUNK_BYTES = 1 << 20
+#: Rows that they look at together at most.
+CHUNK_ROWS = 1000
 
 
 def held_out(doc_id: Column | str) -> Column:
@@ -40,17 +42,11 @@ def text_batches(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[t
         data = np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
         at = 0
         while at < len(column):
-            to = max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_BYTES, side="right")) - 1)
+            to = min(at + CHUNK_ROWS, max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_BYTES, side="right")) - 1))
             yield batch.slice(at, to - at), data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
             at = to
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``gone``; whatever other columns they have."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.join(gone, "doc_id", "left_anti").select("row.*")
-
-
 #: Bits of the filters that go to all executors, a prime, so that any step between values spreads them. They only spare work: what passes is looked at exactly.
 FILTER_BITS = (1 << 26) - 5
 
@@ -81,6 +77,32 @@ def filtered(df: DataFrame, column: str, bits, wanted: bool = True) -> DataFrame
     return df.mapInArrow(run, df.schema)
 
 
+def bit_table(values: DataFrame, column: str) -> DataFrame:
+    """The filter of ``bit_filter`` as a table (k, bits), for joins inside the JVM: FILTER_BITS / 32768 + 1 rows of 4 KB at most."""
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1
+    rows = values.filter(F.col(column).isNotNull()).groupBy(F.bitmap_bucket_number(bit).alias("_k"))
+    return cut(rows.agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("_bits")), "bits")
+
+
+def marked(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:
+    """``df`` with ``_in``: whether its long passes the filter of ``bit_table``; a null doesn't."""
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS)) + 1
+    at = F.bitmap_bit_position(bit)
+    rows = df.withColumn("_k", F.bitmap_bucket_number(bit)).join(F.broadcast(bits), "_k", "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+    return rows.withColumn("_in", F.coalesce(found, F.lit(False))).drop("_k", "_bits")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``gone``; whatever other columns they have. Only rows that a filter of bits lets through are dealt out."""
+    gone = cut(gone.select("doc_id").distinct(), "gone")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = marked(rows, "doc_id", bit_table(gone, "doc_id"))
+    stay = rows.filter("_in").join(gone, "doc_id", "left_anti")
+    return rows.filter("not _in").select("row.*").unionByName(stay.select("row.*"))
+
+
 #: A-Z to a-z, other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -115,13 +137,13 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(n: int, base: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64; kept, as every chunk needs them again."""
+    """base**0 .. base**n modulo 2**64; those of chunks are kept, as every chunk needs them again."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
         steps = np.full(max(n, CHUNK_BYTES) + 2, base, dtype=np.uint64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
-        if n <= 4 * CHUNK_BYTES:
+        if n <= CHUNK_BYTES + 1:
             _powers[base] = have
     return have
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, new_dir, table, text_column, without
+from tidemark.llm.common import bit_table, cut, marked, new_dir, table, text_column, without
 
 #: State on disk, and closed after each batch: an open store holds some 4 MB for its manifest alone.
 _STATE = {
@@ -85,11 +85,14 @@ def exact_dedup(docs: DataFrame, bytes_per_batch: int = 8 << 30) -> DataFrame:
     # Full bytes on hits: the least and the greatest text of a digest are the same text, or the digest has collided.
     # A salt deals the rows of a large group to SALTS tasks.
     hits = held.filter("group_size > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # Texts of no hit stay where they are, by a filter of bits.
     texts = docs.select(
         F.unhex(F.sha2(text_column(docs).cast("binary"), 256)).alias("digest"),
         F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
         text_column(docs).cast("binary").alias("bytes"),
-    )
+    ).withColumn("_hash", F.xxhash64("digest"))
+    bits = bit_table(held.filter("group_size > 1").select(F.xxhash64("digest").alias("_hash")), "_hash")
+    texts = marked(texts, "_hash", bits).filter("_in").drop("_hash", "_in")
     compared = texts.join(hits, ["digest", "salt"], "left_semi").groupBy("digest", "salt").agg(F.min("bytes").alias("a"), F.max("bytes").alias("z"))
     compared = compared.groupBy("digest").agg(F.min("a").alias("a"), F.max("z").alias("z"))
     collided = compared.filter("a <> z").select("digest")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import LOWER, SPACED, bit_filter, cut, filtered, mix, passes, prefix_hash, span_hash, table, text_batches, without, word_spans
 from tidemark.operators.graphs import connected
+from tidemark.sources.tables import standing
 
 #: Registers of a signature; bands of ROWS registers each. A pair at 0.8 meets in no band with probability 5e-8.
 REGISTERS, ROWS = 128, 4
@@ -20,6 +21,8 @@ PARITIES = 16
 #: Rounds in which buckets of several components get a further pivot. More of them leave less to the join that follows; any number
 #: gives the same links.
 ROUNDS = 4
+#: Elements whose permutations are held at once, a byte per register each.
+BLOCK = 1 << 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -56,12 +59,20 @@ def superminhash(elements: np.ndarray, offsets: np.ndarray, m: int = REGISTERS)
 
     Each element deals 0 + u, 1 + u', ... to the registers in the order of a random permutation of its own (a
     Fisher-Yates shuffle made step by step); a register keeps the least. A set stops early, once no later step can
-    lower a register. All elements of all sets take a step together. A register is step << 57 | 57 random bits.
+    lower a register. BLOCK elements, of as many sets, take a step together, which bounds their permutations' memory.
+    A register is step << 57 | 57 random bits.
     """
-    n = len(offsets) - 1
-    out = np.full((n, m), np.iinfo(np.uint64).max, dtype=np.uint64)
-    owner = np.repeat(np.arange(n), np.diff(offsets))
-    live = elements
+    out = np.full((len(offsets) - 1, m), np.iinfo(np.uint64).max, dtype=np.uint64)
+    owner = np.repeat(np.arange(len(out)), np.diff(offsets))
+    for at in range(0, len(elements), BLOCK):
+        block = owner[at : at + BLOCK]
+        _deal(elements[at : at + BLOCK], block - block[0], out[block[0] : block[-1] + 1])
+    return out
+
+
+def _deal(live: np.ndarray, owner: np.ndarray, out: np.ndarray) -> None:
+    """Lower the signatures ``out`` by the elements ``live`` of the sets ``owner``."""
+    m, flat = out.shape[1], out.reshape(-1)
     shuffle = None
     for step in range(m):
         if step:
@@ -76,7 +87,7 @@ def superminhash(elements: np.ndarray, offsets: np.ndarray, m: int = REGISTERS)
                 rows = np.arange(len(live))
                 shuffle[rows, to] = 0
                 shuffle[:, 0] = to
-            else:
+            elif not going.all():
                 shuffle = shuffle[going]
         bits = mix(live + _ODD[:1] * np.uint64(2 * step + 1))
         jump = mix(live + _ODD[:1] * np.uint64(2 * step + 2)) >> np.uint64(32)
@@ -89,8 +100,7 @@ def superminhash(elements: np.ndarray, offsets: np.ndarray, m: int = REGISTERS)
         else:
             register = to
         value = (np.uint64(step) << np.uint64(57)) | (bits >> np.uint64(7))
-        np.minimum.at(out.reshape(-1), owner * m + register, value)
-    return out
+        np.minimum.at(flat, owner * m + register, value)
 
 
 def bands(signatures: np.ndarray, rows: int = ROWS) -> np.ndarray:
@@ -189,6 +199,7 @@ def _similar(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int
     return joined.filter(f"100 * common >= {percent} * (size(ha) + size(hb) - common)").select("a", "b")
 
 
+@standing
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents that are linked by 100 * |A and B| >= percent * |A or B| over their shingle sets.
 
@@ -224,7 +235,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     pivot = buckets.groupBy("key").agg(F.min(F.struct("doc_id", "node", "n")).alias("p"))
     met = buckets.join(pivot, "key").filter("node <> p.node").filter(f"100 * least(n, p.n) >= {percent} * greatest(n, p.n)")
     links = cut(_similar(_pairs(met, "node", "p.node"), members, sets, percent), "links")
-    component = cut(connected(links), "components")
+    component = connected(links)
     labelled = buckets.select("key", "node").join(component, "node", "left").withColumn("first", F.coalesce("component", "node")).drop("component")
 
     def mixed(rows: DataFrame) -> DataFrame:
@@ -250,7 +261,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if found.isEmpty():
             break
         bridges = found if bridges is None else bridges.unionByName(found)
-        merges = cut(connected(bridges), "merges")
+        merges = connected(bridges)
         open_ = cut(mixed(joined(open_.select("key", "node", "first"), merges)), "open")
 
     left = open_.groupBy("node").agg(*(F.first(c).alias(c) for c in ("component", "first")))
@@ -269,7 +280,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     more = met.join(_similar(met.select("a", "b"), members, sets, percent), ["a", "b"])
     more = cut(more.select(F.col("v").alias("a"), F.col("u").alias("b")).distinct(), "more-bridges")
     if not more.isEmpty():
-        merges = cut(connected(more if bridges is None else bridges.unionByName(more)), "merges")
+        merges = connected(more if bridges is None else bridges.unionByName(more))
     if merges is not None:
         component = joined(component.withColumnRenamed("component", "first"), merges)
         alone = merges.join(component, "node", "left_anti").select("node", "component")

@@ -60,7 +60,7 @@ class WordTokenizer:
     of a word end. Where the ends don't tell the words apart, they go one by one.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,15 @@ def text_column(docs: DataFrame, column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def release() -> None:
+    """Give memory that this Python worker has freed back to the machine; else an idle worker holds its largest batch's share."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU library
+        pass
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with their text bytes: (slice, uint8 bytes, int64 offsets of its documents)."""
     for batch in batches:
@@ -45,6 +55,7 @@ def text_batches(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[t
             to = min(at + CHUNK_ROWS, max(at + 1, int(np.searchsorted(ends, ends[at] + CHUNK_BYTES, side="right")) - 1))
             yield batch.slice(at, to - at), data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
             at = to
+    release()
 
 
 #: Bits of the filters that go to all executors, a prime, so that any step between values spreads them. They only spare work: what passes is looked at exactly.
@@ -73,6 +84,7 @@ def filtered(df: DataFrame, column: str, bits, wanted: bool = True) -> DataFrame
         for batch in batches:
             values = batch.column(column).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(passes(bits.value, np.ascontiguousarray(values, dtype=np.int64)) == wanted))
+        release()
 
     return df.mapInArrow(run, df.schema)
 

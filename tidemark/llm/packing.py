@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import release, table
 
 WINDOW = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -243,6 +243,7 @@ def pack_partition(batches: Iterator[pa.RecordBatch], encode, first: int, size:
             out = [[] for _ in _ARROW]
     give(packer.flush())
     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=_ARROW)
+    release()
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, size: int = WINDOW) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bit_filter, cut, filtered, mix, prefix_hash, span_hash, table, text_batches, text_column
+from tidemark.llm.common import bit_filter, cut, filtered, mix, prefix_hash, release, span_hash, table, text_batches, text_column
+from tidemark.sources.tables import standing
 
 #: Bytes of a string that counts as a repeat, and of the pieces whose hashes choose anchors.
 LENGTH, PIECE = 100, 32
@@ -26,6 +28,8 @@ WINDOW = LENGTH - PIECE + 1
 BEFORE, AFTER = WINDOW - 1, LENGTH
 #: Anchors with more contexts than this are dealt out by ranges of the place of the anchor in a string.
 MANY = 256
+#: Contexts that a task hands on together.
+CONTEXTS = 10_000
 #: Those ranges. Strings of a range share the bytes that all of them have.
 RANGES = ((0, 3), (4, 16), (17, BEFORE))
 #: Bytes of contexts in a shard, and about how many are merged at once.
@@ -192,19 +196,25 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = key
     if rows:
         yield unit(rows)
+    release()
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, bytes of text, anchors) to a row per anchor with its context."""
-    for batch in batches:
-        out = []
-        for doc, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            for a in found:
-                first = max(0, a["pos"] - BEFORE)
-                out.append((doc, first, a["pos"] - first, a["piece"], a["many"], text[first : a["pos"] + AFTER]))
-        if out:
-            doc, first, left, piece, many, text = zip(*out, strict=True)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "first": pa.array(first, pa.int64()), "before": pa.array(left, pa.int32()), "piece": pa.array(piece, pa.int64()), "many": pa.array(many, pa.bool_()), "bytes": pa.array(text, pa.binary())})
+    """From (doc_id, bytes of text, anchors) to a row per anchor with its context, CONTEXTS rows at a time."""
+
+    def rows():
+        for batch in batches:
+            for doc, text, found in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                doc, text = doc.as_py(), text.as_py()
+                for a in found.as_py():
+                    first = max(0, a["pos"] - BEFORE)
+                    yield doc, first, a["pos"] - first, a["piece"], a["many"], text[first : a["pos"] + AFTER]
+
+    every = rows()
+    while part := list(islice(every, CONTEXTS)):
+        doc, first, left, piece, many, text = zip(*part, strict=True)
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc, pa.int64()), "first": pa.array(first, pa.int64()), "before": pa.array(left, pa.int32()), "piece": pa.array(piece, pa.int64()), "many": pa.array(many, pa.bool_()), "bytes": pa.array(text, pa.binary())})
+    release()
 
 
 def removed_runs(size: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,6 +259,7 @@ def _with_spans(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[
                 n = np.array([len(p) for p in pieces], dtype=np.int64)
                 out |= {"n_bytes": pa.array(size), "n_removed": pa.array(removed), "n_spans": pa.array(n), "kept_sha256": pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())}
             yield pa.RecordBatch.from_pydict(out)
+    release()
 
 
 def _ordered(docs: DataFrame) -> Column:
@@ -300,11 +311,16 @@ def removal_spans(docs: DataFrame) -> DataFrame:
     return spans.unionByName(more).unionByName(merged)
 
 
+@standing
+def _spans(docs: DataFrame) -> DataFrame:
+    """Per document with spans: its id, and their starts and ends."""
+    spans = removal_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("s"))
+    return spans.select(F.col("doc_id").alias("_id"), F.col("s.start").alias("_start"), F.col("s.end").alias("_end"))
+
+
 def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents that no span can be of, and the others with their bytes and spans."""
-    spans = removal_spans(docs).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("s"))
-    spans = spans.select("doc_id", F.col("s.start").alias("_start"), F.col("s.end").alias("_end"))
-    spans = cut(spans.withColumnRenamed("doc_id", "_id"), "spans")
+    spans = _spans(docs)
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(spans, "_id"))
     rows = docs.select(F.struct("*").alias("row"), _ordered(docs).alias("_id"))
     return filtered(rows, "_id", bits, wanted=False), filtered(rows, "_id", bits).join(spans, "_id", "left")

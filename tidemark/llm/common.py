@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.tables import bounded as bounded
 from tidemark.sources.tables import cut as cut
 from tidemark.sources.tables import new_dir as new_dir
 from tidemark.sources.tables import table as table
 
-#: Bytes of text that the numpy kernels look at together; one longer document is looked at alone.
-CHUNK_BYTES = 1 << 20
+#: Bytes of text that the numpy kernels look at together; one longer document is looked at alone. They hold some 100 bytes for each.
+CHUNK_BYTES = 1 << 18
 #: Rows that they look at together at most.
 CHUNK_ROWS = 1000
 
@@ -38,8 +39,14 @@ def release() -> None:
         pass
 
 
+#: What kernels keep for the tasks to come in this Python worker and can make again, by kernel. Kernels of ``text_batches`` drop it.
+KEPT: list[dict] = []
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], text: int = 1) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with their text bytes: (slice, uint8 bytes, int64 offsets of its documents)."""
+    for kept in KEPT:
+        kept.clear()
     for batch in batches:
         if not batch.num_rows:
             continue

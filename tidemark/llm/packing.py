@@ -13,13 +13,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import release, table
+from tidemark.llm.common import KEPT, bounded, release, table
 
 WINDOW = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = (1).to_bytes(4, "little")
 #: Characters of the documents that are tokenised together.
-CHARACTERS = 1 << 20
+CHARACTERS = 1 << 18
 
 #: Texts of these characters only need no normalisation but lower-casing, and split as _WORDS does.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff‐-…]*")
@@ -45,7 +45,7 @@ class Generations(dict):
         return value
 
     def unknown(self, keys: set) -> list:
-        return [k for k in keys.difference(self) if k not in self.elder]
+        return [k for k in keys if k not in self and k not in self.elder]
 
     def age(self) -> None:
         if len(self) > self.most:
@@ -60,7 +60,7 @@ class WordTokenizer:
     of a word end. Where the ends don't tell the words apart, they go one by one.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 100_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -95,10 +95,11 @@ class WordTokenizer:
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
+KEPT.append(_tokenizers)
 
 
 def tokenizer(path: str) -> WordTokenizer:
-    """One per Python worker and vocabulary, so that later tasks find its cache filled."""
+    """One per Python worker and vocabulary, so that later tasks find its cache filled, until the worker turns to other kernels."""
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
@@ -263,7 +264,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, size: int = WINDOW) ->
     def run(batches):
         return pack_partition(batches, tokenizer(vocabulary).encode, TaskContext.get().partitionId() << 32, size)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, SCHEMA)
 
 
 def op8_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

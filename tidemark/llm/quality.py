@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, SPACED, held_out, mix, prefix_hash, span_hash, table, text_batches, word_spans
+from tidemark.llm.common import LOWER, SPACED, bounded, held_out, mix, prefix_hash, span_hash, table, text_batches, word_spans
 
 #: Labelled rows that a model is fitted on at most; the rows with the smallest hashed ids are taken.
 FIT_ROWS = 20_000
@@ -217,7 +217,7 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, **how) -> AdditiveModel:
-    found = fit_sample(docs, labels, "quality", rows).mapInArrow(_sampled, "doc_id long, label int, x array<double>").toArrow()
+    found = bounded(fit_sample(docs, labels, "quality", rows)).mapInArrow(_sampled, "doc_id long, label int, x array<double>").toArrow()
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")  # the order of tasks doesn't matter then
     x = np.array(found.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))[order]
     return fit(x, found.column("label").to_numpy().astype(np.float64)[order], **how)
@@ -230,7 +230,8 @@ def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
         for part, data, ends in text_batches(batches):
             yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "score": pa.array(model.score(text_features(data, ends)))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bounded(texts).mapInArrow(run, "doc_id long, score double")
 
 
 #: Scores from here on keep a document.
@@ -258,7 +259,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             kept = [model.score(text_features(data, ends)) >= KEEP_FROM for _, data, ends in text_batches(iter([batch]), at)]
             yield batch.filter(pa.array(np.concatenate(kept))) if kept else batch
 
-    return docs.select(*names).mapInArrow(run, docs.schema)
+    return bounded(docs.select(*names)).mapInArrow(run, docs.schema)
 
 
 def op1_quality_additive_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bit_filter, cut, filtered, mix, prefix_hash, release, span_hash, table, text_batches, text_column
+from tidemark.llm.common import bit_filter, bounded, cut, filtered, mix, prefix_hash, release, span_hash, table, text_batches, text_column
 from tidemark.sources.tables import standing
 
 #: Bytes of a string that counts as a repeat, and of the pieces whose hashes choose anchors.
@@ -340,7 +340,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     clean = clean.select("row.*").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(bytes_, 256).alias("kept_sha256"))
     others = others.select("row.doc_id", F.col("row.text").cast("binary").alias("_bytes"), "_start", "_end")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return clean.unionByName(others.mapInArrow(lambda b: _with_spans(b, False), schema))
+    return clean.unionByName(bounded(others).mapInArrow(lambda b: _with_spans(b, False), schema))
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -349,7 +349,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     clean, others = _joined(docs)
     others = others.select(F.struct(*(F.col("row")[c].alias(c) for c in rest.columns)).alias("row"), F.coalesce(F.col("row")["text"].cast("string"), F.lit("")).cast("binary").alias("_bytes"), "_start", "_end")
     fields = others.select("row", F.lit("").alias("text")).schema
-    left = others.mapInArrow(lambda b: _with_spans(b, True), fields)
+    left = bounded(others).mapInArrow(lambda b: _with_spans(b, True), fields)
     left = left.select(F.struct("row.*", "text").alias("row"))
     return clean.select("row").select("row.*").unionByName(left.select("row.*")).select(docs.columns)
 

@@ -47,8 +47,12 @@ def new_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Bytes of the batches that Python kernels get; their workers and the executors' buffers hold several of them at a time.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 1 << 20
+
 #: While a table is written: its plan's shuffle files go when it stands, as no later plan reads them, and Python gets batches of bounded size.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", _BATCH: str(BATCH_BYTES)}
 
 #: Folders cut by each operator that is under way, the innermost last.
 _made: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
@@ -70,6 +74,16 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose session hands Python batches of BATCH_BYTES from now on, unless it was told a size.
+
+    For kernels whose rows are handed on unwritten: Spark asks for the size when they run, after the operator has returned.
+    """
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

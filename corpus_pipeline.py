@@ -34,7 +34,7 @@ def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 2048 tokens."""
-    return pack(docs)
+    return pack(docs, words=100_000)  # executors that ran the stages before have less memory left than one that only packs
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("repeat_dedup", repeat_dedup), ("packing", packing)]

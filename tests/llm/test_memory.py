@@ -59,7 +59,7 @@ def test_a_size_that_was_set_stays(spark):
 
 def test_word_cache_is_small_and_goes_with_the_next_kernel():
     path = pytest.importorskip("public_tokenizers").path(packing.VOCABULARY)
-    own, r = packing.tokenizer(path), random.Random(3)
+    own, r = packing.tokenizer(path, 100_000), random.Random(3)
     words = ["".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(400_000)]
     for at in range(0, len(words), 20_000):
         own.encode([" ".join(words[at : at + 20_000])])

@@ -19,7 +19,9 @@ WINDOW = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = (1).to_bytes(4, "little")
 #: Characters of the documents that are tokenised together.
-CHARACTERS = 1 << 18
+CHARACTERS = 1 << 20
+#: Words of a generation of a worker's cache. Fewer of them take less memory and more time; any number gives the same ids.
+WORDS = 500_000
 
 #: Texts of these characters only need no normalisation but lower-casing, and split as _WORDS does.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xff‐-…]*")
@@ -60,7 +62,7 @@ class WordTokenizer:
     of a word end. Where the ends don't tell the words apart, they go one by one.
     """
 
-    def __init__(self, path: str, most: int = 100_000):
+    def __init__(self, path: str, most: int = WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -98,10 +100,11 @@ _tokenizers: dict[str, WordTokenizer] = {}
 KEPT.append(_tokenizers)
 
 
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, most: int = WORDS) -> WordTokenizer:
     """One per Python worker and vocabulary, so that later tasks find its cache filled, until the worker turns to other kernels."""
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
+    _tokenizers[path].cache.most = most
     return _tokenizers[path]
 
 
@@ -247,14 +250,14 @@ def pack_partition(batches: Iterator[pa.RecordBatch], encode, first: int, size:
     release()
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, size: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, size: int = WINDOW, words: int = WORDS) -> DataFrame:
     """One row per piece of a document in a sequence of at most ``size`` tokens.
 
     Every partition is one online run with its own level array, in the partition's order; nothing is shuffled and a
     lost task gives the same rows again. Each document's ids are the library's (no special tokens) and id 1; null text
     is empty, so only id 1. Each id lies in one piece; only the last window of a partition is not full, and that one is
     cut at powers of two. Rows that repeat a doc_id are packed each; null ids stay null; an empty table gives
-    no rows; other columns are ignored.
+    no rows; other columns are ignored. ``words``: of a generation of the workers' caches.
     """
     if vocabulary is None:
         import public_tokenizers
@@ -262,7 +265,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, size: int = WINDOW) ->
         vocabulary = public_tokenizers.path(VOCABULARY)
 
     def run(batches):
-        return pack_partition(batches, tokenizer(vocabulary).encode, TaskContext.get().partitionId() << 32, size)
+        return pack_partition(batches, tokenizer(vocabulary, words).encode, TaskContext.get().partitionId() << 32, size)
 
     return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))).mapInArrow(run, SCHEMA)
 

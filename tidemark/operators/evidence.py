@@ -36,13 +36,20 @@ def status(found: Column, blocking: list[str], score: Column, approve_from: floa
     return F.when(stop | (score < review_from) | score.isNull(), "REJECTED").when((score >= approve_from) & (F.size(found) == 0), "AUTO_APPROVED").otherwise("REVIEW")
 
 
-def votes(readings: DataFrame, keys: list[str], text: str, conf: str, target: str, least_votes: int = 3, least_conf: float = 0.25) -> DataFrame:
+def _summed(value: str, order: str) -> Column:
+    """The sum of the values that are not null, one after the other in ``order``; keys are entities whose values fit a row."""
+    values = F.sort_array(F.collect_list(F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("o"), F.col(value).alias("v")))))
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda s, x: s + x["v"]))
+
+
+def votes(readings: DataFrame, keys: list[str], text: str, conf: str, target: str, least_votes: int = 3, least_conf: float = 0.25, order: str | None = None) -> DataFrame:
     """Temporal voting by key: best text, counts, and the confidence that it is ``target``.
 
     Readings that are null or under ``least_conf`` are unknown. One-digit readings that are part of the target don't conflict.
+    With ``order`` confidences are added in its order: sums that are equal on paper differ by their last bits, which decide ties of counts.
     """
     rows = readings.withColumn("_t", F.when(F.col(conf) >= least_conf, F.col(text)))
-    by = rows.groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("n"), F.sum(conf).alias("c"))
+    by = rows.groupBy(*keys, "_t").agg(F.count(F.lit(1)).alias("n"), (F.sum(conf) if order is None else _summed(conf, order)).alias("c"))
     known, hit = F.col("_t").isNotNull(), F.col("_t") == target
     part = known & (F.length("_t") == 1) & F.lit(target).contains(F.col("_t"))
     total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))

@@ -81,8 +81,8 @@ SELECT k, n_frames, n_unknown, n_read, n_target, n_conflicting, best, round(grea
 def vote_temporal(spark, d):
     n = F.col("event_id") % 4
     text = (n + F.when(n == 2, 50).otherwise(3)).cast("string")
-    rows = table(spark, d, "events").select(F.col("user_id").alias("k"), text.alias("t"), ((F.col("event_id") % 10).cast("double") / 10).alias("c"))
-    return v.votes(rows, ["k"], "t", "c", "52").withColumn("confidence", F.round("confidence", 6))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("k"), text.alias("t"), ((F.col("event_id") % 10).cast("double") / 10).alias("c"), "event_id")
+    return v.votes(rows, ["k"], "t", "c", "52", order="event_id").withColumn("confidence", F.round("confidence", 6))
 
 
 @query("cluster_weighted_argmax", """

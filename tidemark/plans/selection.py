@@ -45,7 +45,9 @@ def hint_first_order(spark, d):
 @query("first_last_best", """
 SELECT o_custkey, min(o_orderkey) AS first, max(o_orderkey) AS last, arg_max(o_orderkey, o_totalprice) AS best FROM orders GROUP BY o_custkey""")
 def first_last_best(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), F.max_by("o_orderkey", "o_totalprice").alias("best"))
+    known = F.col("o_totalprice").isNotNull() & F.col("o_orderkey").isNotNull()  # of equal prices the least key, which comes first in the table
+    best = F.max_by("o_orderkey", F.when(known, F.struct(F.col("o_totalprice").alias("p"), (-F.col("o_orderkey")).alias("o"))))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"), best.alias("best"))
 
 
 @query("even_samples", """

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import clip01
+from tidemark.sources.tables import spread
 
 Get = Callable[..., Column]
 
@@ -133,13 +134,18 @@ def valid_score(value: Column, most: float) -> Column:
 def refilled(df: DataFrame, keys: list[str], order: list[Column], n: int, bad: Column, rounds: int = 3) -> DataFrame:
     """The ``n`` first rows of each key after ``rounds`` of gating: what is chosen and bad goes, and others move up.
 
-    All rounds rank within one partitioning, so they cost one shuffle. The last choice isn't gated again.
+    A round takes at most ``n`` rows of a key, so only its first ``n * (rounds + 1)`` can matter. What isn't gone keeps its order, so its
+    rank is a running count: all rounds go over one sort of rows dealt out once. The last choice isn't gated again. What may be bad
+    (null) is never chosen either.
     """
-    rows = df.withColumns({"_bad": bad, "_gone": F.lit(False)})
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy("_gone", *order))
+    w = W.partitionBy(*keys).orderBy(*order)
+    rows = spread(df.withColumns({"_bad": F.coalesce(bad, F.lit(True)), "_gone": F.lit(False)}), keys)
+    rows = rows.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= n * (rounds + 1))
+    w = W.partitionBy(*keys).orderBy("_place").rowsBetween(W.unboundedPreceding, 0)
     for _ in range(rounds):
-        rows = rows.withColumn("_rank", rank).withColumn("_gone", F.col("_gone") | (F.col("_bad") & (F.col("_rank") <= n)))
-    return rows.withColumn("rank", rank).filter((F.col("rank") <= n) & ~F.col("_gone")).drop("_bad", "_gone", "_rank")
+        rows = rows.withColumn("_rank", F.count_if(~F.col("_gone")).over(w)).withColumn("_gone", F.col("_gone") | (F.col("_bad") & (F.col("_rank") <= n)))
+    rows = rows.withColumn("rank", F.count_if(~F.col("_gone")).over(w).cast("int"))
+    return rows.filter((F.col("rank") <= n) & ~F.col("_gone")).drop("_bad", "_gone", "_rank", "_place")
 
 
 def windows(df: DataFrame, key: str, start: str, end: str, order: str, shortest, longest, gap) -> DataFrame:

@@ -92,13 +92,13 @@ MOST_PARTS = 4_000
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``df`` dealt out by key, in more partitions than the session's where its size asks for them, so that a task's rows don't grow with it.
+    """``df`` dealt out by key, in as many partitions as its size asks for where those are more than the cores, so that a task's rows don't grow with it.
 
     For plans over files: of other sources, and of joins, Spark's estimate says nothing; beyond a petabyte it isn't heeded.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = min(size // SPREAD_BYTES, MOST_PARTS) if size < 1 << 50 else 0
-    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(*keys)
+    return df.repartition(parts, *keys) if parts > df.sparkSession.sparkContext.defaultParallelism else df.repartition(*keys)
 
 
 def delete(spark: SparkSession, path: str) -> None:

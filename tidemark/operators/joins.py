@@ -7,6 +7,7 @@ no pair comes twice.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +37,36 @@ def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at:
     return rows.select("_l.*", F.when(ok, F.col("_m._t")).alias("match_at"), F.when(ok, F.col("_m._v")).alias("match"))
 
 
+def near_others(k: np.ndarray, x: np.ndarray, apart: float) -> tuple[list, list, list]:
+    """(place, how many other owners, share of their known values less than ``apart`` off) of rows sorted by owner ``k`` and value ``x``.
+
+    Values are counted by bisection, among all and among the owner's own, so no pairs are made. Unknown values are NaN and last.
+    """
+    known = ~np.isnan(x)
+    starts = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
+    owner = np.repeat(np.arange(len(starts)), np.diff([*starts, len(k)]))
+    if len(starts) < 2:
+        return [], [], []
+    first, n_own = starts[owner], np.add.reduceat(known.astype(int), starts)[owner]
+
+    def bisected(values, lo, hi, beyond):
+        lo, hi = lo.copy(), hi.copy()
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) // 2
+            past = beyond(values[np.minimum(mid, len(values) - 1)])
+            hi, lo = np.where(open_ & past, mid, hi), np.where(open_ & ~past, mid + 1, lo)
+        return lo
+
+    def near(values, lo, hi):
+        return bisected(values, lo, hi, lambda v: v - x >= apart) - bisected(values, lo, hi, lambda v: x - v < apart)
+
+    every, zero = np.sort(x[known]), np.zeros(len(k), dtype=int)
+    pairs = len(every) - n_own
+    hits = near(every, zero, zero + len(every)) - near(x, first, first + n_own) if len(every) else zero
+    share = np.where(known & (pairs > 0), hits / np.maximum(pairs, 1), np.nan)
+    return list(range(len(k))), [len(starts) - 1] * len(k), share.tolist()
+
+
 def _cells(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
     return df.withColumn("_cell", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
 

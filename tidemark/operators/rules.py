@@ -28,10 +28,21 @@ def features(have: list[str]) -> Get:
     return get
 
 
-def event_scores(x: Get) -> dict[str, Column]:
-    """The confidence of each label, 0 to 1, from the features of a play."""
+def scored(df: DataFrame, have: list[str], prefix: str) -> DataFrame:
+    """Adds the scores of ``event_scores`` as columns with ``prefix``, a few in a projection: code for all at once is one method too
+    long for the JVM to compile, which then interprets it for each row."""
+    names = list(event_scores(features([])))
+    df = df.withColumns({f"_{c}": v for c, v in event_terms(features(have)).items()})
+    for at in range(0, len(names), 4):
+        scores = event_scores(features(have), lambda c: F.col(f"_{c}"))
+        df = df.withColumns({prefix + k: scores[k] for k in names[at : at + 4]})
+    return df.drop(*(f"_{c}" for c in event_terms(features([]))))
+
+
+def event_terms(x: Get) -> dict[str, Column]:
+    """What several scores of ``event_scores`` are made of."""
     known, contact, special = x("los_known"), x("has_contact"), x("special_teams_signature")
-    helpers, passer, way = x("defenders_at_contact"), x("target_is_qb"), clip01(x("path_length_h") / 5.0)
+    way = clip01(x("path_length_h") / 5.0)
     gain, calm = x("contact_gain_h"), 1 - contact
     down = F.greatest(x("target_down"), 0.8 * x("target_decel"), 0.8 * x("pose_fall"))
     tackle = contact * (0.5 + 0.5 * down)
@@ -41,6 +52,14 @@ def event_scores(x: Get) -> dict[str, Column]:
     beyond = by_line((gain - 1.5) / 2.0, 0.5)
     trust = 0.8 + 0.2 * F.when(known != 0, x("los_confidence")).otherwise(0.0)
     cover = special * calm * way * 0.6
+    return {"tackle": tackle, "usual": usual, "rarely": rarely, "behind": behind, "near": near, "beyond": beyond, "trust": trust, "cover": cover, "down": down, "way": way, "calm": calm}
+
+
+def event_scores(x: Get, term: Callable[[str], Column] | None = None) -> dict[str, Column]:
+    """The confidence of each label, 0 to 1, from the features of a play; ``term`` gives the columns of ``event_terms`` where there are such."""
+    known, contact, special = x("los_known"), x("has_contact"), x("special_teams_signature")
+    helpers, passer = x("defenders_at_contact"), x("target_is_qb")
+    tackle, usual, rarely, behind, near, beyond, trust, cover, down, way, calm = map(term or event_terms(x).get, "tackle usual rarely behind near beyond trust cover down way calm".split())
     chase = way * clip01(0.4 + x("closing_speed_h") / 2.0) * clip01(0.5 + 0.5 * F.greatest(F.lit(0.0), x("pursuit_angle_cos")))
     alone = F.when(helpers == 0, 1.0).when(helpers == 1, 0.35).otherwise(0.1)
     scores = {

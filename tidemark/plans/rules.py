@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import rounded
 from tidemark.operators import rules as r
 from tidemark.plans import EVENTS, events
 from tidemark.registry import query
@@ -52,8 +53,8 @@ def _plays(spark, d):
 
 @query("event_rule_scores", f"WITH {_SCORES} SELECT l_orderkey, l_linenumber, l_extendedprice, " + ", ".join(f"round({k}, 9) + 0 AS {k}" for k in PRIORITY) + " FROM s")
 def event_rule_scores(spark, d):
-    scores = r.event_scores(r.features(list(_FEATURES)))
-    return _plays(spark, d).select(*_KEYS, *((F.round(v, 9) + 0).alias(k) for k, v in scores.items()))
+    rows = r.scored(_plays(spark, d), list(_FEATURES), "s_")
+    return rows.select(*_KEYS, *((rounded(F.col(f"s_{k}"), 9) + 0).alias(k) for k in r.event_scores(r.features([]))))
 
 
 @query("committed_and_possible_labels", f"""
@@ -69,12 +70,12 @@ WITH {_SCORES}, c AS (SELECT *, los_known = 1 AND los_confidence >= 0.5 AS ok, h
 SELECT g.l_orderkey, g.l_linenumber, g.l_extendedprice, g.label, coalesce(l.possible, '') AS possible FROM g LEFT JOIN l USING (l_orderkey, l_linenumber, l_extendedprice)""")
 def committed_and_possible_labels(spark, d):
     x = r.features(list(_FEATURES))
-    names = list(r.event_scores(x))
-    rows = _plays(spark, d).withColumns({f"s_{k}": F.round(v, 9) for k, v in r.event_scores(x).items()})
-    scores = {k: F.col(f"s_{k}") for k in names}
+    rows = r.scored(_plays(spark, d), list(_FEATURES), "s_")
+    scores = {k: F.col(f"s_{k}") for k in r.event_scores(r.features([]))}
     line_ok = (x("los_known") != 0) & (x("los_confidence") >= 0.5)
-    rows = rows.withColumn("label", r.committed_label(scores, PRIORITY, x, line_ok))
-    return rows.select(*_KEYS, "label", F.array_join(r.possible_labels(scores, F.col("label")), ",").alias("possible"))
+    rows = rows.withColumn("label", r.committed_label(scores, PRIORITY, x, line_ok))  # thresholds are of scores as they are, what is possible goes by nine digits
+    possible = r.possible_labels({k: rounded(v, 9) for k, v in scores.items()}, F.col("label"))
+    return rows.select(*_KEYS, "label", F.array_join(possible, ",").alias("possible"))
 
 
 @query("primary_actor_score", f"""
